@@ -2,23 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import near_dedup
+from weftline.llm import chat_format, embedding_dedup, license_scan, near_dedup, packing, secrets, sentencepiece_codec, sharding, toxicity, vp_search
+from weftline.llm.pipeline_stages import packed_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, their CRC-32 as little-endian 32-bit numbers, and whether decoding gives the text again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).select("doc_id", "text", "ids", "decoded")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [b"" if x is None else x.values.to_numpy().astype("<u4").tobytes() for x in batch.column(2)]
+            same = pc.equal(pc.fill_null(batch.column(1), ""), batch.column(3))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) // 4 for x in lists], pa.int64()), pa.array(map(zlib.crc32, lists), pa.int64()), same], names=["doc_id", "n_ids", "ids_crc32", "round_trip"]
+            )
+
+    return both.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_probability", 6).alias("toxic_probability"), "severity_grade", (F.col("toxic_probability") >= toxicity.REJECT).alias("toxic"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(F.to_binary(secrets.digest(secrets.KINDS[:3]), F.lit("utf-8")), 256)
+    return found.select("doc_id", *map(count, secrets.KINDS), base.alias("base_sha256"), secrets.digest().alias("spans"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(packing.pack_documents(_table(spark, sf_dir, "documents")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+
+
+def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return vp_search.nearest(table, table.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_near_dedup": op2_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_near_dedup,
+        op3_embedding_dedup,
+        op4_toxicity,
+        op5_chat_format,
+        op6_secret_scan,
+        op7_packing,
+        op8_license_scan,
+        op9_sharding,
+        op10_vp_search,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE}
