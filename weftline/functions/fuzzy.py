@@ -9,6 +9,7 @@ a window of its length in the longer one.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,26 +59,18 @@ def partial_ratio(a: str, b: str) -> float:
     return max(ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
 
 
-@F.pandas_udf("double")
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def divergence(name: str, forms: str) -> float:
+    """1 less the best matching-blocks ratio of a name with any of the ``;``-separated canonical forms, to 4 digits."""
+    return round(1 - max((difflib.SequenceMatcher(None, name, f.strip()).ratio() for f in forms.split(";") if f.strip()), default=0.0), 4)
 
 
-@F.pandas_udf("double")
-def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def pairwise(f: Callable[[str, str], float], a: Column | str, b: Column | str) -> Column:
+    """A function of two strings as a column, computed in Arrow batches; null if either is."""
 
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or v is None else f(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
 
-@F.pandas_udf("double")
-def divergence_udf(name: pd.Series, canonical: pd.Series) -> pd.Series:
-    """1 less the best matching-blocks ratio of a name with any of the ``;``-separated canonical forms."""
-
-    def one(a: str | None, forms: str | None) -> float | None:
-        if a is None or forms is None:
-            return None
-        return round(1 - max((difflib.SequenceMatcher(None, a, f.strip()).ratio() for f in forms.split(";") if f.strip()), default=0.0), 4)
-
-    return pd.Series([one(a, b) for a, b in zip(name, canonical, strict=True)], dtype="float64")
+    return F.pandas_udf(run, "double")(a, b)
 
 
 # Upper bounds of the bands, exclusive.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.fuzzy import token_set_ratio_udf
+from weftline.functions.fuzzy import pairwise, token_set_ratio
 from weftline.functions.text import normalize_text, strip_punctuation
 from weftline.operators.linking import char_terms, document_frequencies, term_counts, weighted
 
@@ -32,7 +32,7 @@ def fuzzy_class(forms: DataFrame, labels: DataFrame, form: str, label: str, thre
     heads = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 2)))
     a = forms.select(form).where(F.col(form).isNotNull()).distinct().withColumn("_h", F.explode(heads(F.col(form))))
     b = labels.select(label).where(F.col(label).isNotNull()).distinct().withColumn("_h", F.explode(heads(F.col(label))))
-    pairs = a.join(b, "_h").select(form, label).distinct().withColumn("fuzzy_score", token_set_ratio_udf(form, label))
+    pairs = a.join(b, "_h").select(form, label).distinct().withColumn("fuzzy_score", pairwise(token_set_ratio, form, label))
     best = F.row_number().over(Window.partitionBy(form).orderBy(F.desc("fuzzy_score"), label))
     return pairs.where(F.col("fuzzy_score") >= threshold).withColumn("_n", best).where("_n = 1").drop("_n")
 
@@ -188,7 +188,8 @@ def phrase_hits(rows: DataFrame, key: str, text: str, phrases: DataFrame, phrase
     p = p.select("phrase", "_n", F.posexplode(F.transform("_words", lambda w: F.substring(w, 1, 3))).alias("_at", "_head"))
     tokens = rows.select(key, F.split(normalize_text(text), " ").alias("_tokens")).select(key, "_tokens", F.posexplode(F.transform("_tokens", lambda w: F.substring(w, 1, 3))).alias("_pos", "_head"))
     starts = tokens.join(F.broadcast(p), "_head").withColumn("word_start", F.col("_pos") - F.col("_at")).where("word_start >= 0").select(key, "_tokens", "phrase", "_n", "word_start").distinct()
-    window = F.array_join(F.slice("_tokens", F.col("word_start") + 1, F.col("_n")), " ")
+    # the guard keeps slice from a start below 1 wherever filters are evaluated
+    window = F.array_join(F.slice("_tokens", F.greatest(F.col("word_start") + 1, F.lit(1)), F.col("_n")), " ")
     scored = starts.where(F.col("word_start") + F.col("_n") <= F.size("_tokens")).withColumn("_w", window)
     similarity = 1 - F.levenshtein("_w", "phrase") / F.greatest(F.length("_w"), F.length("phrase"))
     return scored.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select(key, "phrase", "word_start", "similarity")

@@ -216,10 +216,10 @@ def locate_offsets(offsets: DataFrame, parts: DataFrame, group: str, offset: str
     w = Window.partitionBy(group).orderBy(pos)
     start = F.coalesce(F.sum(F.col(length) + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.lead(pos).over(w).isNull()
-    axis = parts.select(group, F.col(pos).alias("_pos"), start.alias("_start"), (F.col(length) + F.when(last, 1).otherwise(gap)).alias("_size"))
-    inside = (offsets[group] == axis[group]) & (F.col(offset) >= F.col("_start")) & (F.col(offset) < F.col("_start") + F.col("_size"))
-    out = offsets.join(axis, inside, "left").drop(axis[group])
-    return out.withColumn(pos, F.col("_pos")).withColumn("offset_in_part", F.col(offset) - F.col("_start")).drop("_pos", "_start", "_size")
+    axis = parts.select(F.col(group).alias("_group"), F.col(pos).alias("_pos"), start.alias("_start"), (F.col(length) + F.when(last, 1).otherwise(gap)).alias("_size"))
+    inside = (F.col(group) == F.col("_group")) & (F.col(offset) >= F.col("_start")) & (F.col(offset) < F.col("_start") + F.col("_size"))
+    out = offsets.join(axis, inside, "left")
+    return out.withColumn(pos, F.col("_pos")).withColumn("offset_in_part", F.col(offset) - F.col("_start")).drop("_group", "_pos", "_start", "_size")
 
 
 def label_intervals(tokens: DataFrame, spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:

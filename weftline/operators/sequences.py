@@ -32,7 +32,7 @@ def neighbour_median_drift(days: DataFrame, day: str, value: str, group: Sequenc
     joining on the 2 x window shifted days.
     """
     shifts = F.array(*[F.lit(k) for k in range(-window, window + 1) if k])
-    around = days.select(*group, F.date_add(day, F.explode(shifts)).alias(day), F.col(value).alias("_v"))
+    around = days.select(*group, F.col(day).alias("_d"), F.col(value).alias("_v"), F.explode(shifts).alias("_k")).select(*group, F.date_add("_d", F.col("_k")).alias(day), "_v")
     stats = around.where("_v is not null").groupBy(*group, day).agg(F.median("_v").alias("neighbour_median"), F.count("*").alias("neighbour_count"))
     out = days.join(stats, [*group, day], "left").withColumn("neighbour_count", F.coalesce("neighbour_count", F.lit(0)))
     out = out.withColumn("abs_dev", F.abs(F.col(value) - F.col("neighbour_median")))
