@@ -38,6 +38,8 @@ SAMPLES, BITS = 512, 1024
 FLOOR = 0.66
 #: Members of a bucket compared in one kernel call; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
+#: Smaller buckets are compared so many at a time.
+SMALL = 256
 
 _RNG = np.random.Generator(np.random.PCG64(75))
 _A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,25 +121,41 @@ def _verify(words: int, numerator: int, denominator: int):
     return run
 
 
+def _crossing(left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, keys: np.ndarray, component: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs between two blocks that differ in component, agree in no earlier band, and whose sketches are near."""
+    out_x, out_y = [], []
+    for k in range(0, len(left), 64):
+        part = left[k : k + 64]
+        far = np.zeros((len(part), len(right)), dtype=np.int32)
+        for c in range(sketch.shape[1]):
+            far += np.bitwise_count(sketch[part, None, c] ^ sketch[None, right, c])
+        x, y = np.nonzero((far <= most) & (component[part, None] != component[None, right]))
+        x, y = part[x], right[y]
+        new = (keys[x, :band] != keys[y, :band]).all(axis=1)
+        out_x.append(x[new])
+        out_y.append(y[new])
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
 def _blocks(most: int):
-    """Pairs (a, b) of two blocks of a bucket, of different components, whose sketches differ in ``most`` bits at most."""
+    """Pairs (a, b) that cross components in the buckets of a group: whole small buckets, or two blocks of a large one."""
     import pandas as pd
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, component = frame["id"].to_numpy(), frame["component_id"].to_numpy()
-        sketch = np.array(frame["sketch"].tolist(), dtype=np.int64).view(np.uint64)
-        left = np.flatnonzero(frame["block"].to_numpy() == frame["i"].iloc[0])
-        right = np.flatnonzero(frame["block"].to_numpy() == frame["j"].iloc[0])
+        frame = frame.sort_values(["band", "key"], kind="stable")
+        ids, component, band, key, block = (frame[c].to_numpy() for c in ("id", "component_id", "band", "key", "block"))
+        sketch, keys = np.array(frame["sketch"].tolist(), dtype=np.int64).view(np.uint64), np.array(frame["bands"].tolist(), dtype=np.int64)
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        begin = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
         a, b = [], []
-        for k in range(0, len(left), 64):
-            part = left[k : k + 64]
-            far = np.zeros((len(part), len(right)), dtype=np.int32)
-            for c in range(sketch.shape[1]):
-                far += np.bitwise_count(sketch[part, None, c] ^ sketch[None, right, c])
-            x, y = np.nonzero((far <= most) & (component[part, None] != component[None, right]))
-            a.append(ids[part[x]])
-            b.append(ids[right[y]])
-        a, b = np.concatenate(a), np.concatenate(b)
+        for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
+            rows = np.arange(start, stop)
+            left, right = rows[block[rows] == i], rows[block[rows] == j]
+            if len(left) and len(right):
+                x, y = _crossing(left, right, most, sketch, keys, component, int(band[start]))
+                a.append(ids[x])
+                b.append(ids[y])
+        a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
@@ -205,14 +223,18 @@ def near_duplicates(
         .where("low < high")
         .select("band", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     )
+    mixed = materialised(mixed, "mixed")
+    groups = max(1, mixed.count() // SMALL)
+    bucket = F.xxhash64("band", "key")
     dealt = (
         member.join(mixed, ["band", "key"])
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(sketch, "id")
+        .withColumn("group", F.when(F.col("blocks") > 1, bucket).otherwise(F.pmod(bucket, F.lit(groups))))
+        .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(own, "id")
     )
-    crossing = dealt.groupBy("band", "key", "i", "j").applyInPandas(_blocks(most_odd()), "a long, b long").distinct()
+    crossing = dealt.groupBy("group", "i", "j").applyInPandas(_blocks(most_odd()), "a long, b long").distinct()
     more = _linked(materialised(crossing, "pairs"), texts, words, numerator, denominator)
     component = connected_components(links.unionByName(more))
 
