@@ -161,3 +161,20 @@ def near_duplicate_vectors(
     linked = tagged.select("vec_id", "print").join(named, "print").select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("vec_id").isNull() | ~vectors.usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same by comparing all pairs, for small tables.
+ORACLE = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+    SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= {COSINE}
+), r AS (
+    SELECT vec_id, vec_id AS m FROM v UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.vec_id WHERE r.m < l.b
+), c AS (
+    SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id
+)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.vec_id = v.vec_id
+"""

@@ -259,4 +259,28 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return semi(rest, again, id_column, "left_anti").unionByName(semi(rest, again, id_column).dropDuplicates([id_column, text_column]))
 
 
-__all__ = ["BROADCAST_IDS", "keep_first", "near_duplicates"]
+#: The same by comparing all documents that share a shingle, for small tables.
+ORACLE = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle
+    FROM w
+), n AS (
+    SELECT w.doc_id, count(s.doc_id) AS n_shingles FROM (SELECT DISTINCT doc_id FROM w) w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)
+), e AS (
+    SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+    SELECT doc_id, doc_id AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b
+), c AS (
+    SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id
+)
+SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id
+"""
+
+__all__ = ["BROADCAST_IDS", "ORACLE", "keep_first", "near_duplicates"]

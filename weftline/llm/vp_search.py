@@ -81,10 +81,12 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
     def offer(which: np.ndarray, rows: np.ndarray) -> np.ndarray:
         nonlocal measured
         measured += len(which) * len(rows)
-        far = np.empty((len(which), len(rows)))
-        for i in range(0, len(which), 64):  # differences, not products: exact where vectors nearly agree
-            part = which[i : i + 64]
-            far[i : i + 64] = np.sqrt(((queries[part, None, :] - tree.x[None, rows, :]) ** 2).sum(axis=2))
+        # differences, not products, and component by component: exact where vectors nearly agree, and summed in order
+        far = np.zeros((len(which), len(rows)))
+        for q, x in zip(queries[which].T, tree.x[rows].T, strict=True):
+            gap = q[:, None] - x[None, :]
+            far += gap * gap
+        np.sqrt(far, out=far)
         own = query_ids[which, None] == ids[None, rows]
         found.put(which, np.where(own, np.inf, far), ids[rows])
         return far
@@ -173,3 +175,15 @@ def _packed(df: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[i * size : (i + 1) * size] for i in range(len(x))], pa.binary())], names=[key, "v"])
 
     return df.select(key, "v").mapInArrow(run, f"{key} long, v binary")
+
+
+#: The same by comparing every query with all rows.
+ORACLE = f"""
+WITH g AS (
+    SELECT vec_id, e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), d AS (
+    SELECT q.vec_id AS query_id, g.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, g.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM g q JOIN g ON q.vec_id <> g.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM d) WHERE r <= {K}
+"""
