@@ -14,9 +14,9 @@ def idf_weights(rows: DataFrame, name: str, smoothed: bool = False) -> DataFrame
     The number of rows is the sum of the frequencies: no second scan.
     """
     counts = rows.groupBy(name).agg(F.count("*").alias("frequency"))
-    total = counts.agg(F.sum("frequency").alias("n"))
+    total = counts.agg(F.sum("frequency").alias("_rows"))
     f = F.col("frequency")
-    idf = F.ln((F.col("n") + 1) / (f + 1)) + 1 if smoothed else F.ln(F.col("n") / f)
+    idf = F.ln((F.col("_rows") + 1) / (f + 1)) + 1 if smoothed else F.ln(F.col("_rows") / f)
     return counts.where(F.col(name).isNotNull()).crossJoin(F.broadcast(total)).select(name, "frequency", idf.alias("idf"))
 
 

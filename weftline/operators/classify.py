@@ -160,7 +160,7 @@ def merged_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def parse_markers(rows: DataFrame, key: str, text: str, markers: dict[str, str]) -> DataFrame:
-    """key, k, base_offset, kind of inline markers in order; offsets count the text without markers. ``markers`` maps kinds to literals."""
+    """key, ordinal, base_offset, kind of inline markers in order; offsets count the text without markers. ``markers`` maps kinds to literals."""
     kind = dict(rows.dtypes)[key]
     pattern = re.compile("|".join(f"(?P<{n}>{re.escape(m)})" for n, m in markers.items()))
 
@@ -172,9 +172,9 @@ def parse_markers(rows: DataFrame, key: str, text: str, markers: dict[str, str])
                 for i, m in enumerate(pattern.finditer(t or "")):
                     out.append((k, i, m.start() - gone, m.lastgroup))
                     gone += len(m[0])
-            yield pd.DataFrame(out, columns=[key, "k", "base_offset", "kind"])
+            yield pd.DataFrame(out, columns=[key, "ordinal", "base_offset", "kind"])
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, k int, base_offset long, kind string")
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, ordinal int, base_offset long, kind string")
 
 
 def phrase_hits(rows: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, threshold: float = 0.85) -> DataFrame:

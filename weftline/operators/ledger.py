@@ -134,13 +134,6 @@ def select_status(candidates: DataFrame, keys: Sequence[str], status: str, sessi
     return out.select(*keys, F.when(tied, "ambiguous").otherwise(F.col(status)).alias(status), F.when(~tied, F.col(session)).alias(session))
 
 
-def mapping_reason(unique: Column, nearby: Column, ambiguous: Column) -> tuple[Column, Column]:
-    """The session that unique evidence maps to, and otherwise why none is: nearby only, ambiguous, or no candidate; all are arrays."""
-    one = F.size(unique) == 1
-    reason = F.when(one, None).when(F.size(ambiguous) > 1, "ambiguous_candidates").when(F.size(nearby) > 0, "nearby_only").otherwise("no_candidate")
-    return F.when(one, F.element_at(unique, 1)), reason
-
-
 #: Ranks of alignment tiers; others come last.
 TIER_RANK = {"tier1_anchor": 0, "tier2_interpolated": 1, "tier2_adjacent": 2, "tier2_merged_page": 3, "tier3_head_template": 4, "tier3_tail": 5}
 
@@ -163,4 +156,4 @@ def nonsolid_class(solid: Column, invariant_ok: Column, nihil: Column, status: C
     )
 
 
-__all__ = ["alignment_score", "date_ledger", "greedy_claims", "mapping_reason", "mutual_best", "neighbour_candidates", "nonsolid_class", "resolve_days", "select_status", "status_code"]
+__all__ = ["alignment_score", "date_ledger", "greedy_claims", "mutual_best", "neighbour_candidates", "nonsolid_class", "resolve_days", "select_status", "status_code"]

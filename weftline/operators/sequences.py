@@ -202,11 +202,6 @@ def stitch(rows: DataFrame, group: Sequence[str], order: Sequence[str], text: st
     return marked.groupBy(*group, "stitched").agg(F.array_join(F.transform(items, lambda x: x["_t"]), " ").alias(text), F.count("*").alias("n_fragments"))
 
 
-def continuation(text: str) -> Column:
-    """Whether a fragment goes on with what stood before: it begins in lower case or with a closing mark."""
-    return F.col(text).rlike(r"^\s*(\p{Ll}|[,;:)\]])")
-
-
 def anchor_dates(days: DataFrame, day: str, anchor: str, group: Sequence[str] = ()) -> DataFrame:
     """A row for each calendar day from the first to the last anchored day, with the anchor that holds, and the next one."""
     w = Window.partitionBy(*group).orderBy(day)
