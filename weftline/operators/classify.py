@@ -202,7 +202,9 @@ def fuzzy_tokens(tokens: DataFrame, names: DataFrame, token: str, name: str, thr
         distinct = df.select(c).where(F.length(c) >= 3).distinct()
         pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col(c), i, 2).alias("g")))
         out = distinct.select(c, F.explode(pairs).alias("x")).select(c, "x.i", "x.g")
-        return out.withColumn("i", F.col("i") + F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))) if shift else out
+        if not shift:
+            return out
+        return out.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(c, (F.col("i") + F.col("_d")).alias("i"), "g")
 
     pairs = grams(tokens, token, False).join(grams(names, name, True), ["i", "g"]).select(token, name).distinct()
     near = F.abs(F.length(token) - F.length(name)) <= (1 - threshold) * F.greatest(F.length(token), F.length(name))
