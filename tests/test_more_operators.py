@@ -109,7 +109,7 @@ def test_more_scores(spark):
     pairs = spark.createDataFrame([("r", "s1", 4.0, 0.5), ("r", "s2", 6.0, 0.1)], "r string, s string, o double, x double")
     best = linking.ranked_sessions(pairs, "r", "s", "o", "x").first()
     assert (best.top_session, best.top_score, best.low_confidence) == ("s2", pytest.approx(6.1), False) and best.ranked[1].low_confidence
-    fuzzy = classify.fuzzy_tokens(spark.createDataFrame([("holant",), ("xyz",)], "t string"), spark.createDataFrame([("holland",)], "n string"), "t", "n", 0.8).collect()
+    fuzzy = classify.fuzzy_tokens(spark.createDataFrame([("holant",), ("xyz",)], "t string"), spark.createDataFrame([("holland",)], "n string"), "t", "n", 0.7).collect()
     assert [(r.t, r.n) for r in fuzzy] == [("holant", "holland")]
     sure, unsure = training.stacked(spark.createDataFrame([(90,), (10,), (None,)], "c int"), "c")
     assert (sure.count(), unsure.count()) == (1, 2)
