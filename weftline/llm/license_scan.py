@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import materialised
-
 #: Notices by licence family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -78,6 +77,9 @@ CONFIRM = 0.6
 #: Share of held-out paragraphs without a licence that may pass for one.
 FALSE_SHARE = 1e-3
 
+#: N-grams in a larger share of the paragraphs without a licence aren't features: they tell nothing, and would make triggers of everyday words.
+COMMON = 0.005
+
 #: A word; the same pattern serves Java and Python.
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
@@ -132,7 +134,8 @@ def fit(others: list[str], seed: int = 8, rounds: int = 300, penalty: float = 1e
     held, taught = others[: len(others) // 4], others[len(others) // 4 :]
     sets, classes = _training_set(taught, seed)
     families = [*TEMPLATES]
-    vocabulary = sorted(set().union(*known))
+    spread = Counter(g for t in taught for g in ngrams(t))
+    vocabulary = sorted(g for g in set().union(*known) if spread[g] <= COMMON * len(taught))
     index = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(sets), len(vocabulary)))
     for i, s in enumerate(sets):
@@ -163,7 +166,7 @@ def fit(others: list[str], seed: int = 8, rounds: int = 300, penalty: float = 1e
 
     wrong = sorted(map(top, held), reverse=True)
     least = max(0.5, wrong[int(len(wrong) * FALSE_SHARE)] if wrong else 0.5)
-    # trigger words, until without them no family reaches unknown
+    # trigger words, an n-gram's rarest, until without them no family reaches unknown
     triggers: list[str] = []
     gain = np.maximum(w, 0)
     open_ = np.ones(len(vocabulary), dtype=bool)
@@ -171,8 +174,8 @@ def fit(others: list[str], seed: int = 8, rounds: int = 300, penalty: float = 1e
         worst = int(np.argmax(b + gain[open_].sum(axis=0)))
         share: dict[str, float] = {}
         for i in np.flatnonzero(open_ & (gain[:, worst] > 0)):
-            for word in vocabulary[i].split():
-                share[word] = share.get(word, 0.0) + gain[i, worst]
+            word = min(vocabulary[i].split(), key=lambda w: (spread[w], w))
+            share[word] = share.get(word, 0.0) + gain[i, worst]
         word = max(sorted(share), key=share.__getitem__)
         triggers.append(word)
         open_ &= np.array([word not in v.split() for v in vocabulary])
@@ -239,4 +242,4 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     )
 
 
-__all__ = ["CONFIRM", "TEMPLATES", "Model", "fit", "materialised", "ngrams", "scan", "train"]
+__all__ = ["CONFIRM", "TEMPLATES", "Model", "fit", "ngrams", "scan", "train"]
