@@ -42,13 +42,16 @@ def date_band_join(left: DataFrame, right: DataFrame, left_date: str, right_date
     return pairs.withColumn("date_diff_days", F.least(F.coalesce(near, far), F.coalesce(hook, far))).withColumn("date_match_source", F.when(F.coalesce(near, far) <= F.coalesce(hook, far), "flat").otherwise("hook"))
 
 
-def period_join(rows: DataFrame, periods: DataFrame, date: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Rows with the periods [start, end] that hold their date: periods are dealt out by the months that they touch, so that the join is one on equal months."""
+def period_join(rows: DataFrame, periods: DataFrame, date: str, start: str, end: str, how: str = "inner", on: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Rows with the periods [start, end] that hold their date: periods are dealt out by the months that they touch, so that the join is one on equal months, and on the pairs of columns ``on``."""
     month = F.trunc(F.col(date).cast("date"), "MM")
     spread = periods.withColumn("_month", F.explode(F.sequence(F.trunc(F.col(start).cast("date"), "MM"), F.trunc(F.col(end).cast("date"), "MM"), F.expr("interval 1 month"))))
     inside = F.col(date).cast("date").between(F.col(start).cast("date"), F.col(end).cast("date"))
     left = rows.withColumn("_on", month)
-    return left.join(spread, (F.col("_on") == F.col("_month")) & inside, how).drop("_on", "_month")
+    same = F.col("_on") == F.col("_month")
+    for a, b in on:
+        same = same & (F.col(a) == F.col(b))
+    return left.join(spread, same & inside, how).drop("_on", "_month")
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:

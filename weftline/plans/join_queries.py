@@ -34,7 +34,7 @@ SELECT event_id, p.user_id AS period_user FROM events JOIN p ON CAST(ts AS DATE)
 def range_period_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day"))
     periods = events.where("event_type = 'signup'").groupBy(F.col("user_id").alias("period_user")).agg(F.min("day").alias("start_day")).withColumn("end_day", F.date_add("start_day", 6))
-    return joins.period_join(events, periods, "day", "start_day", "end_day").where("user_id = period_user").select("event_id", "period_user")
+    return joins.period_join(events, periods, "day", "start_day", "end_day", on=[("user_id", "period_user")]).select("event_id", "period_user")
 
 
 @query("""
