@@ -121,15 +121,21 @@ def _verify(words: int, numerator: int, denominator: int):
     return run
 
 
-def _crossing(left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, keys: np.ndarray, component: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pairs between two blocks that differ in component, agree in no earlier band, and whose sketches are near."""
+def _crossing(
+    left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, keys: np.ndarray, component: np.ndarray, band: int, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs between two blocks that differ in component, agree in no earlier band, may be linked by their sizes, and whose sketches are near.
+
+    ``low`` and ``high`` are the sizes times denominator and numerator.
+    """
     out_x, out_y = [], []
     for k in range(0, len(left), 64):
         part = left[k : k + 64]
         far = np.zeros((len(part), len(right)), dtype=np.int32)
         for c in range(sketch.shape[1]):
             far += np.bitwise_count(sketch[part, None, c] ^ sketch[None, right, c])
-        x, y = np.nonzero((far <= most) & (component[part, None] != component[None, right]))
+        sizes = (low[part, None] >= high[None, right]) & (low[None, right] >= high[part, None])
+        x, y = np.nonzero((far <= most) & sizes & (component[part, None] != component[None, right]))
         x, y = part[x], right[y]
         new = (keys[x, :band] != keys[y, :band]).all(axis=1)
         out_x.append(x[new])
@@ -137,7 +143,7 @@ def _crossing(left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def _blocks(most: int):
+def _blocks(most: int, numerator: int, denominator: int):
     """Pairs (a, b) that cross components in the buckets of a group: whole small buckets, or two blocks of a large one."""
     import pandas as pd
 
@@ -145,6 +151,7 @@ def _blocks(most: int):
         frame = frame.sort_values(["band", "key"], kind="stable")
         ids, component, band, key, block = (frame[c].to_numpy() for c in ("id", "component_id", "band", "key", "block"))
         sketch, keys = np.array(frame["sketch"].tolist(), dtype=np.int64).view(np.uint64), np.array(frame["bands"].tolist(), dtype=np.int64)
+        low, high = denominator * frame["n"].to_numpy(), numerator * frame["n"].to_numpy()
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         begin = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
         a, b = [], []
@@ -152,7 +159,7 @@ def _blocks(most: int):
             rows = np.arange(start, stop)
             left, right = rows[block[rows] == i], rows[block[rows] == j]
             if len(left) and len(right):
-                x, y = _crossing(left, right, most, sketch, keys, component, int(band[start]))
+                x, y = _crossing(left, right, most, sketch, keys, component, int(band[start]), low, high)
                 a.append(ids[x])
                 b.append(ids[y])
         a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
@@ -163,7 +170,7 @@ def _blocks(most: int):
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    ids = materialised(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     few = semi(texts.select("doc_id", "text"), ids, "doc_id")
     left, right = few.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), few.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -195,18 +202,19 @@ def near_duplicates(
     made = materialised(made, "signatures")
     nodes = made.where("doc_id is not null and print is not null")
     first = nodes.groupBy("print").agg(F.min("doc_id").alias("node"))
-    own = materialised(nodes.join(first, "print").where("doc_id = node").select(F.col("doc_id").alias("id"), "sketch", "bands"), "nodes")
+    own = materialised(nodes.join(first, "print").where("doc_id = node").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "nodes")
 
     # one proposal for each member of a bucket: its smallest id
     member = own.select("id", F.posexplode("bands").alias("band", "key"))
     least = member.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     star = member.join(least, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sketch = own.select("id", "sketch")
+    sketch = own.select("id", "n", "sketch")
+    alike = denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b")
     near = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most_odd()
     star = (
-        star.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(near)
+        star.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+        .join(sketch.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+        .where(alike & near)
         .select("a", "b")
         .distinct()
     )
@@ -219,9 +227,9 @@ def near_duplicates(
     member = held.select("id", "component_id", F.posexplode("bands").alias("band", "key"))
     mixed = (
         member.groupBy("band", "key")
-        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("n"))
+        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("members"))
         .where("low < high")
-        .select("band", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+        .select("band", "key", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
     )
     mixed = materialised(mixed, "mixed")
     groups = max(1, mixed.count() // SMALL)
@@ -234,7 +242,7 @@ def near_duplicates(
         .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(own, "id")
     )
-    crossing = dealt.groupBy("group", "i", "j").applyInPandas(_blocks(most_odd()), "a long, b long").distinct()
+    crossing = dealt.groupBy("group", "i", "j").applyInPandas(_blocks(most_odd(), numerator, denominator), "a long, b long").distinct()
     more = _linked(materialised(crossing, "pairs"), texts, words, numerator, denominator)
     component = connected_components(links.unionByName(more))
 
