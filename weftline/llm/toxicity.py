@@ -29,8 +29,8 @@ FEATURES, LEAST_DOCS = 4096, 3
 BEGINNINGS = (3, 4, 5, 6)
 #: Grades: clean, toxic, and toxic more densely than half of the toxic sample.
 GRADES = 3
-#: Probability of being toxic at all from which a document is rejected.
-REJECT = 0.5
+#: Probability of being toxic at all from which a document is rejected: toxic rows are rare, and clean ones stay far below it.
+REJECT = 0.25
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
