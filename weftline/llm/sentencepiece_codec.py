@@ -87,7 +87,10 @@ class Model:
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         #: Whether no piece goes on after a space that follows other characters: then every word is found alone.
         self.words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._steps: dict[tuple[int | str, int | str], bool] = {}
+        self._steps: dict[tuple[str, str], bool] = {}
+        self._fast: dict[int, bool] = {}
+        #: Of each ending of a piece the piece's id, -1 if it is no piece itself: where a search backwards may stop.
+        self._tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self._sizes = np.array([len(self.surface(i)) for i in range(len(self.pieces))], dtype=np.int64)
         self._bytes = np.frombuffer(b"".join(self.surface(i) for i in range(len(self.pieces))), dtype=np.uint8)
         self._begin = np.cumsum(self._sizes) - self._sizes
@@ -120,6 +123,39 @@ class Model:
                 self._steps[before, piece] = known
         return known
 
+    def word(self, window: str) -> list[int] | None:
+        """The ids of a text within one window of a merge model, for which nothing has to be committed early; None if a character is unknown.
+
+        The lattice is that of ``stream``; of the pieces that end at a boundary just one is allowed, so the shortest are tried first.
+        """
+        tails, fast, start = self._tails, self._fast, len(self.pieces)
+        last, back = [start], [0]
+        for i in range(1, len(window) + 1):
+            j = i - 1
+            while j >= 0:
+                k = tails.get(window[j:i])
+                if k is None:
+                    return None
+                if k >= 0:
+                    step = last[j] << 20 | k
+                    fits = fast.get(step)
+                    if fits is None:
+                        fits = self.allowed(self.pieces[last[j]] if last[j] < start else "", self.pieces[k])
+                        if len(fast) < 1 << 18:
+                            fast[step] = fits
+                    if fits:
+                        break
+                j -= 1
+            else:
+                return None
+            last.append(k)
+            back.append(j)
+        out, i = [], len(window)
+        while i:
+            out.append(last[i])
+            i = back[i]
+        return out[::-1]
+
     def stream(self, chunks: Iterable[str]) -> Iterator[str]:
         """The best path's pieces, of a text with SPACE for spaces that comes in chunks; an unknown character is a piece.
 
@@ -213,7 +249,13 @@ def _model(data: bytes) -> Model:
 @lru_cache(maxsize=2)
 def _cache(data: bytes) -> units.UnitCache:
     model = _model(data)
-    return units.UnitCache(lambda unit: model.ids_of(model.stream([unit.decode().replace(" ", SPACE)])))
+
+    def encode(unit: bytes) -> list[int]:
+        text = unit.decode().replace(" ", SPACE)
+        ids = model.word(text) if model.kind == BPE and len(text) <= 2 * model.longest else None
+        return model.ids_of(model.stream([text])) if ids is None else ids
+
+    return units.UnitCache(encode)
 
 
 def batch_ids(texts: pa.Array, data: bytes) -> tuple[np.ndarray, np.ndarray]:

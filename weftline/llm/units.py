@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import pyarrow as pa
 from weftline.llm import bytehash as bh
 
 #: Bytes of text (one row at least) that are encoded at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -37,35 +37,50 @@ def cut_at(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.nd
 
 
 class UnitCache:
-    """Ids of units met before, as little-endian unsigned 32-bit bytes; bounded in entries and in the length of a unit."""
+    """Ids of units met before by their 64-bit keys, in arrays of about 30 bytes a unit; bounded in units and in ids of a unit."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]], entries: int = 1 << 18, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[bytes], list[int]], entries: int = 1 << 20, longest: int = 32) -> None:
         self._encode, self._entries, self._longest = encode, entries, longest
-        self._known: dict[bytes, bytes] = {}
-
-    def __call__(self, unit: bytes) -> bytes:
-        ids = self._known.get(unit)
-        if ids is None:
-            ids = array("I", self._encode(unit)).tobytes()
-            if len(unit) <= self._longest and len(self._known) < self._entries:
-                self._known[unit] = ids
-        return ids
-
-
-def encoded(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, raw: bytes, encode: Callable[[bytes], bytes], prefixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self._keys, self._begin = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self._size, self._flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def ids(self, keys: np.ndarray, unit: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and of each of the distinct ascending ``keys`` where its ids begin and how many they are; ``unit`` gives a unit's bytes."""
+        at = np.searchsorted(self._keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        near = at < len(self._keys)
+        known[near] = self._keys[at[near]] == keys[near]
+        begin, size = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        begin[known], size[known] = self._begin[at[known]], self._size[at[known]]
+        missing = np.flatnonzero(~known)
+        made = [self._encode(unit(i)) for i in missing.tolist()]
+        fresh = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        new = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(fresh.sum()))
+        begin[missing], size[missing] = len(self._flat) + np.cumsum(fresh) - fresh, fresh
+        flat = np.concatenate((self._flat, new))
+        short = fresh <= self._longest
+        if len(self._keys) + int(short.sum()) <= self._entries:
+            kept, sizes = missing[short], fresh[short]
+            self._keys = np.insert(self._keys, at[kept], keys[kept])
+            self._begin = np.insert(self._begin, at[kept], len(self._flat) + np.cumsum(sizes) - sizes)
+            self._size = np.insert(self._size, at[kept], sizes)
+            self._flat = np.concatenate((self._flat, new[np.repeat(short, fresh)]))
+        return flat, begin, size
+
+
+def encoded(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, raw: bytes, cache: UnitCache, prefixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All units' ids in order, and the number of ids before each unit (one more at the end).
 
     Units of equal ``keys`` are alike, and one of each kind is encoded; one that is ``prefixed`` with a space before it.
     """
-    _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
-    pairs = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
-    if prefixed is None:
-        made = [encode(raw[a:b]) for a, b in pairs]
-    else:
-        made = [encode(b" " + raw[a:b] if p else raw[a:b]) for (a, b), p in zip(pairs, prefixed[first].tolist(), strict=True)]
-    size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) >> 2
-    flat = np.frombuffer(b"".join(made), dtype=np.uint32)
-    begin = np.cumsum(size) - size
+    distinct, first, kind = np.unique(keys, return_index=True, return_inverse=True)
+
+    def unit(k: int) -> bytes:
+        i = first[k]
+        text = raw[starts[i] : ends[i]]
+        return b" " + text if prefixed is not None and prefixed[i] else text
+
+    flat, begin, size = cache.ids(distinct, unit)
     sizes = size[kind]
     before = np.concatenate(([0], np.cumsum(sizes)))
     return flat[np.repeat(begin[kind] - before[:-1], sizes) + np.arange(int(before[-1]))], before
