@@ -108,6 +108,16 @@ def test_relaxed_trees_measure_less():
     assert np.mean([len(set(a) & set(b)) for a, b in zip(exact.ids, loose.ids, strict=True)]) >= 7
 
 
+def test_copies_on_both_sides_of_a_median_all_count():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        centre, way = rng.normal(size=(2, 64))
+        x = np.concatenate([centre + s * 10 * way + rng.normal(size=(200, 64)) * abs(s) for s in (-1, 0, 1)])[rng.permutation(600)]
+        copies = np.flatnonzero((x == centre).all(axis=1))
+        found, _ = vp_search.search(vp_search.Tree(x, 16), np.arange(600), x[copies[-1:]], copies[-1:], 10, 1.0)
+        assert found.ids[0].tolist() == copies[:10].tolist() and not found.far.any(), seed
+
+
 CHATS = "conv_id long, turn long, role string, text string"
 
 

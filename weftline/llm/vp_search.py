@@ -29,6 +29,16 @@ SHARD, QUERIES = 8192, 1024
 LEAF = 128
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``a`` to those of ``b``; equal pairs of vectors have equal distances, to the last bit."""
+    # differences, not products, and component by component: exact where vectors nearly agree, and summed in order
+    far = np.zeros((len(a), len(b)))
+    for q, x in zip(a.T, b.T, strict=True):
+        gap = q[:, None] - x[None, :]
+        far += gap * gap
+    return np.sqrt(far, out=far)
+
+
 class Tree:
     """A vantage-point tree over the rows of a matrix; each row is a vantage point or in a leaf."""
 
@@ -45,7 +55,7 @@ class Tree:
         few = self._random.choice(rows, min(8, len(rows)), replace=False)
         point = few[int(np.argmax([np.var(np.linalg.norm(sample - self.x[c], axis=1)) for c in few]))]
         rest = rows[rows != point]
-        far = np.linalg.norm(self.x[rest] - self.x[point], axis=1)
+        far = distances(self.x[rest], self.x[[point]])[:, 0]
         order = np.argsort(far, kind="stable")
         half = len(rest) // 2
         inner, outer = order[:half], order[half:]
@@ -77,16 +87,13 @@ class Found:
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> tuple[Found, int]:
     """The k nearest rows of ``tree`` to each query but its own, and the number of distances measured."""
     found, measured = Found(len(queries), k), 0
+    # more than the relative error of a distance, a sum of so many squares
+    error = 4 * (queries.shape[1] + 4) * np.finfo(np.float64).eps
 
     def offer(which: np.ndarray, rows: np.ndarray) -> np.ndarray:
         nonlocal measured
         measured += len(which) * len(rows)
-        # differences, not products, and component by component: exact where vectors nearly agree, and summed in order
-        far = np.zeros((len(which), len(rows)))
-        for q, x in zip(queries[which].T, tree.x[rows].T, strict=True):
-            gap = q[:, None] - x[None, :]
-            far += gap * gap
-        np.sqrt(far, out=far)
+        far = distances(queries[which], tree.x[rows])
         own = query_ids[which, None] == ids[None, rows]
         found.put(which, np.where(own, np.inf, far), ids[rows])
         return far
@@ -104,8 +111,9 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
         first = gap[0] <= gap[1]
 
         def visit(c: int, chosen: np.ndarray) -> None:
-            # equal distances may still win by id, and rounding may not prune
-            near = gap[c][chosen] * factor <= found.far[which[chosen], -1] * (1 + 1e-12)
+            # equal distances may still win by id, and rounding, which is relative to the distances that gap is the difference of, may not prune
+            sure = gap[c][chosen] - error * (far[chosen] + children[c][2])
+            near = sure * factor <= found.far[which[chosen], -1] * (1 + error)
             walk(children[c][0], which[chosen[near]])
 
         for c, chosen in ((0, np.flatnonzero(first)), (1, np.flatnonzero(~first)), (1, np.flatnonzero(first)), (0, np.flatnonzero(~first))):
