@@ -166,6 +166,34 @@ def test_constants_propagate_to_sensitive_names():
     assert secrets.redacted("ab secret cd", [("hex", 3, 6), ("assign", 5, 9)]) == "ab [SECRET] cd"
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        'password: str = "{}"', 'password:str="{}"', 'const apiToken: string = "{}";', 'password: Optional[Dict[str, str]] = "{}"', "let password: &'static str = \"{}\";",
+        'apiToken?: string | undefined = "{}"', 'var password string = "{}"', 'char password[32] = "{}";',
+        'password = pwd = "{}"', 'x = password = y = "{}"', 'password=pwd="{}"', "passphrase=x={}", 'a["password"] = b["x"] = "{}"',
+        'config["password"] = "{}"', "os.environ['DB_SECRET'] = '{}'", 'config["db"]["password"] = "{}"', 'cfg["pw"] = "{}"\npassword = cfg["pw"]',
+        'pass_word = "{}"', 'Note: pwd = "{}"', 'salt = "{}"', 'signature: bytes = "{}"',
+    ],
+)
+def test_literals_of_common_source_syntax_are_found_and_redacted(line):
+    text = line.format("Zx9qPl2vv8Rt1")
+    found = secrets.spans(text)
+    assert "Zx9qPl2vv8Rt1" in [text[a:b] for k, a, b in found if k == "literal"]
+    assert "Zx9qPl2vv8Rt1" not in secrets.redacted(text, found)
+
+
+def test_every_listed_target_can_fire_and_others_do_not():
+    for name in secrets.SENSITIVE:
+        text = f'{name} = "Zx9qPl2vv8Rt1aB3k"'
+        assert ("literal", len(name) + 4, len(text) - 1) in secrets.spans(text), name
+    for text in ('title: str = "Zx9qPl2vv8Rt1"; password: str = "q"', 'a = b = "Zx9qPl2vv8Rt1"', 'm["a"] = "Zx9qPl2vv8Rt1"', 'if password == "Zx9qPl2vv8Rt1"'):
+        assert not [s for s in secrets.spans(text) if s[0] == "literal"], text
+    # what looks like a type may be the value
+    text = "password: c2VjcmV0cGFzczE9 = x"
+    assert "c2VjcmV0cGFzczE9" in [text[a:b] for k, a, b in secrets.spans(text) if k == "literal"]
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -1,8 +1,9 @@
 """Secrets in whole texts: three fixed patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax (``name = literal``, ``name: literal``,
-``"name": "literal"``, ``export NAME=literal``, ``<name>literal</name>``) into pairs of a
-target name and a literal or another name.  Constants propagate: a name that stands
+``"name": "literal"``, ``export NAME=literal``, ``<name>literal</name>``, with a type
+``name: type = literal``, chained ``name = other = literal``, and with a key
+``table["name"] = literal``) into pairs of a target name and a literal or another name.  Constants propagate: a name that stands
 for a literal passes it on to the names it is assigned to, and a literal is scored by
 the most sensitive name that it reaches and by its own shape.
 """
@@ -33,16 +34,27 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Literals of a higher score are spans of their own.
 THRESHOLD = 0.6
-#: How sensitive a target is, by the last of its words that is listed.
+#: How sensitive a target is, by the most sensitive of its words and pairs of words; each is above THRESHOLD, or it could never count.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
-    "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "auth": 0.7, "bearer": 0.9, "signature": 0.6, "salt": 0.6, "key": 0.5,
+    "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "auth": 0.7, "bearer": 0.9, "signature": 0.7, "salt": 0.7, "key": 0.65,
 }
 _QUOTED = r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"""
+#: A type: a name or path with its arguments, a reference or optional, or several as a union.
+_ARGUMENTS = r"""\[[^\[\]=\n]{0,99}(?:\[[^\[\]=\n]{0,99}\][^\[\]=\n]{0,99}){0,3}\]|<[^<>=\n]{1,99}(?:<[^<>=\n]{0,99}>[^<>=\n]{0,99}){0,3}>"""
+_ONE_TYPE = rf"""(?:[&*](?:'\w+\x20)?(?:mut\x20)?)?["']?[A-Za-z_][A-Za-z0-9_.]{{0,127}}+(?:::\w+)*["']?(?:{_ARGUMENTS})?(?:\[\])*[?!]?"""
+_TYPE = rf"""{_ONE_TYPE}(?:[\x20\t]*\|[\x20\t]*{_ONE_TYPE}){{0,9}}"""
+#: After a name may stand the end of a quoted key or subscript, or a size or index.
 _PAIR = re.compile(
-    rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,127}})["']?(?P<sep>[\x20\t]*(?::=|=>|==?|:)[\x20\t]*|>(?=[^<>\s]+</))(?P<value>{_QUOTED}|[A-Za-z0-9+/_.=@%$!*^~\-]+)""",
+    rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,127}}+)(?:["'](?:[\x20\t]*\])?)?(?:\[[A-Za-z0-9_]*\])*"""
+    rf"""(?:(?:[?!]?[\x20\t]*:[\x20\t]*(?P<type>{_TYPE})|[\x20\t]+(?:string|\[\]byte))(?:[\x20\t]+=(?![=>])[\x20\t]*|=[\x20\t]*(?=["']))"""
+    rf"""|(?P<sep>[\x20\t]*(?::=|=>|==?|:)[\x20\t]*|>(?=[^<>\s]+</)))"""
+    rf"""(?P<value>{_QUOTED}|[A-Za-z0-9+/_.=@%$!*^~\-]+)(?P<keys>(?:\[(?:"[^"\\\[\]\n]*"|'[^'\\\[\]\n]*')\])*)""",
     re.ASCII,
 )
+#: What makes a name after a separator a target itself; and targets chained without spaces, with what is assigned to the last.
+_CHAINED = re.compile(r"(?:\[[A-Za-z0-9_]*\])*[\x20\t]*=(?![=>])", re.ASCII)
+_CLOSE_CHAIN = re.compile(r"(?P<names>(?:[A-Za-z_][A-Za-z0-9_.]*=)+)(?P<last>[^=].*)?\Z", re.ASCII)
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -61,17 +73,38 @@ def literals(text: str) -> list[Literal]:
     """The literals assigned in a text, in order, each with the names that it reaches directly or through constants."""
     found: list[tuple[str, int, int, str]] = []
     aliases: list[tuple[str, str]] = []
-    for m in _PAIR.finditer(text):
-        raw, start, end = m["value"], m.start("value"), m.end("value")
-        if m["sep"].strip() == "==":
+    at = 0
+    while m := _PAIR.search(text, at):
+        name, raw, start, end = m["name"], m["value"], m.start("value"), m.end("value")
+        at = m.end()
+        if (m["sep"] or "").strip() == "==":
             continue
-        if raw[0] in "\"'":
-            found.append((m["name"], start + 1, end - 1, raw[1:-1]))
-        elif _PLAIN_NAME.match(raw):
-            aliases.append((m["name"], raw))
-            found.append((m["name"], start, end, raw))
-        else:
-            found.append((m["name"], start, end, raw))
+        quoted = raw[0] in "\"'"
+        # in prose and YAML what looks like a type may be the value
+        if (kind := m["type"]) and (not quoted or any(c.isdigit() for c in kind)):
+            found.append((name, m.start("type"), m.end("type"), kind))
+            aliases.append((name, kind))
+        # "Note: pwd = ..." reads like a type, too
+        targets = [name, kind] if kind and _PLAIN_NAME.match(kind) and sensitivity(kind) else [name]
+        if quoted:
+            found += [(target, start + 1, end - 1, raw[1:-1]) for target in targets]
+            continue
+        found += [(target, start, end, raw) for target in targets]
+        if _PLAIN_NAME.match(raw):
+            aliases.append((name, m["keys"][:-2].rpartition(m["keys"][-2])[2] if m["keys"] else raw))
+            if _CHAINED.match(text, at):
+                at = start
+        elif chain := _CLOSE_CHAIN.match(raw):
+            names = chain["names"][:-1].split("=")
+            aliases += zip([name, *names], names, strict=False)
+            if chain["last"]:
+                found.append((names[-1], start + chain.start("last"), end, chain["last"]))
+                if _PLAIN_NAME.match(chain["last"]):
+                    aliases.append((names[-1], chain["last"]))
+                    if _CHAINED.match(text, end):
+                        at = start + chain.start("last")
+            else:
+                at = end - len(names[-1]) - 1
     constants = {name for name, *_ in found}
     # a bare word that names a constant is that constant, otherwise a literal
     used = [(name, source) for name, source in aliases if source in constants]
@@ -124,6 +157,8 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    # a pair of a name's words may be listed as one
+    low = low.replace("_", "").replace("-", "").replace(".", "")
     if low and any(name in low for name in SENSITIVE):
         found += sorted({("literal", x.start, x.end) for x in literals(text) if score(x) > threshold})
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
