@@ -1,6 +1,7 @@
 """Near-duplicates, secrets, packing, encoding and toxicity against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -139,6 +140,20 @@ def brute_base(text):
     return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
 
 
+def test_sketches_lose_no_more_pairs_than_bands():
+    # the exact chance that a pair at the threshold has more odd cells than verified: two cells flip for each sample that differs
+    most, alike, cells = near_dedup.most_odd(), near_dedup.NUMERATOR / near_dedup.DENOMINATOR, near_dedup.BITS
+    odd, w, lost, n = np.eye(1, cells + 1)[0], np.arange(cells + 1) / cells, 0.0, near_dedup.SAMPLES
+    for differ in range(n + 1):
+        lost += math.comb(n, differ) * (1 - alike) ** differ * alike ** (n - differ) * odd[most + 1 :].sum()
+        for _ in range(2):
+            new = np.zeros(cells + 1)
+            new[1:] += (odd * (1 - w))[:-1]
+            new[:-1] += (odd * w)[1:]
+            odd = new
+    assert lost <= (1 - alike**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_secret_spans_agree_with_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), DOCS).selectExpr("*", "'x' AS spans")
     out = secrets.find_secrets(docs, redacted_column="clean").orderBy("doc_id").collect()

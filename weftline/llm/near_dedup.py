@@ -34,8 +34,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 #: MinHash samples in a sketch, and its bits.
 SAMPLES, BITS = 512, 1024
-#: Pairs of a lower estimate aren't verified: four to five standard errors below the threshold.
-FLOOR = 0.66
+#: Pairs of a lower estimate aren't verified: with a chance of 4.4e-6 one of similarity 0.75, fewer than share no band.
+FLOOR = 0.63
 #: Members of a bucket compared in one kernel call; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 #: Smaller buckets are compared so many at a time.
