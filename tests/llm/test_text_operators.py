@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from weftline.llm import byte_bpe, near_dedup, packing, secrets, sentencepiece_codec, toxicity
+from weftline.llm import byte_bpe, near_dedup, packing, secrets, sentencepiece_codec, shared, toxicity
 from weftline.llm.components import connected_components
 from weftline.llm.pipeline_stages import packed_digest
 
@@ -76,12 +76,39 @@ def test_near_duplicates_agree_with_brute_force(spark):
 
 def test_near_duplicates_in_a_hot_bucket_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "TOGETHER", 4)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
     texts = corpus(7, 4)
     got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).toPandas()
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_components(list(enumerate(texts)))
 
 
+def test_rows_of_one_id_are_one_node_whatever_their_texts(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(30)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, None), (9, c), (8, c), (4, ""), (4, " "), (6, b + "tail"), (6, "short one")]
+    want = brute_components(rows)
+    assert want == {3: 3, 5: 3, 7: 3, 6: 3, 8: 8, 9: 8, 4: 4}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
+def test_recall_of_bands_and_sketches_at_the_threshold():
+    rng, found, pairs = np.random.default_rng(3), 0, 400
+    for _ in range(pairs):
+        n = int(rng.integers(20, 300))
+        common = math.ceil(2 * n * 0.75 / 1.75)
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        x, y = near_dedup.minhash(pool[:n]), near_dedup.minhash(np.concatenate((pool[:common], pool[n : 2 * n - common])))
+        odd = np.bitwise_count(near_dedup.odd_sketch(x).view(np.uint64) ^ near_dedup.odd_sketch(y).view(np.uint64)).sum()
+        found += bool((near_dedup.band_keys(x) == near_dedup.band_keys(y)).any() and odd <= near_dedup.most_odd())
+    assert found / pairs >= 0.99
+
+
+def test_names_differ_by_capitals_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y")], "doc_id long, text string, other string").toDF("Doc_ID", "text", "Text")
+    assert sorted(r.component_id for r in near_dedup.near_duplicates(docs, "doc_id").collect()) == [1, 1]
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert near_dedup.near_duplicates(none).count() == 0

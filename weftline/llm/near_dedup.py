@@ -4,7 +4,7 @@
    fingerprint, MinHash values folded into bands, and an odd sketch: a bitmap in
    which each MinHash sample flips one bit, so that the XOR of two sketches has a
    population count from which a high similarity can be read precisely.
-2. Equal sets are one node.  In each bucket every node is proposed to the smallest
+2. Equal sets are one class, which is one node.  In each bucket every node is proposed to the smallest
    one only; what the sketches allow is verified on the full sets, and links are
    contracted to components.
 3. Buckets that still hold several components are compared block by block, sketch
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm.components import connected_components
-from weftline.llm.shared import BROADCAST_IDS, materialised, semi
+from weftline.llm.shared import BROADCAST_IDS, discard, give_back, hot_join, materialised, picked, salted_join, semi
 
 #: Similarity from which two documents are linked, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
@@ -38,8 +39,8 @@ SAMPLES, BITS = 512, 1024
 FLOOR = 0.63
 #: Members of a bucket compared in one kernel call; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
-#: Smaller buckets are compared so many at a time.
-SMALL = 256
+#: Members of smaller buckets that are compared together, on average.
+TOGETHER = 2048
 
 _RNG = np.random.Generator(np.random.PCG64(75))
 _A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -77,6 +78,10 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return bh.mix((bh.mix(rows + _BAND) * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     data, offsets = bh.text_buffer(texts)
     data = bh.lowered(data)
@@ -85,8 +90,6 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def _signatures(words: int):
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), _SAFE_ROWS):
@@ -94,7 +97,7 @@ def _signatures(words: int):
                 sizes, prints, sketches, bands = [], [], [], []
                 for found in shingle_sets(batch.column(1), words):
                     sizes.append(len(found))
-                    prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    prints.append(fingerprint(found) if len(found) else None)
                     samples = minhash(found) if len(found) else None
                     sketches.append(None if samples is None else odd_sketch(samples))
                     bands.append(None if samples is None else band_keys(samples))
@@ -102,79 +105,93 @@ def _signatures(words: int):
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "print", "sketch", "bands"],
                 )
+            del whole
+            give_back()
 
     return run
 
 
 def _verify(words: int, numerator: int, denominator: int):
+    """Of rows (a, b, print_a, text_a, print_b, text_b) those whose texts have these fingerprints and sets that are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), _SAFE_ROWS):
                 batch = whole.slice(i, _SAFE_ROWS)
-                left, right = (shingle_sets(batch.column(k), words) for k in (2, 3))
+                left, right = (shingle_sets(batch.column(k), words) for k in (3, 5))
                 keep = []
-                for a, b in zip(left, right, strict=True):
+                for a, b, print_a, print_b in zip(left, right, batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(common > 0 and denominator * common >= numerator * (len(a) + len(b) - common))
+                    near = common > 0 and denominator * common >= numerator * (len(a) + len(b) - common)
+                    # an id may have several texts
+                    keep.append(near and fingerprint(a) == print_a and fingerprint(b) == print_b)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            del whole
+            give_back()
 
     return run
 
 
 def _crossing(
-    left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, keys: np.ndarray, component: np.ndarray, band: int, low: np.ndarray, high: np.ndarray
+    left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, component: np.ndarray, low: np.ndarray, high: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pairs between two blocks that differ in component, agree in no earlier band, may be linked by their sizes, and whose sketches are near.
+    """Rows of the pairs between two blocks that differ in component, may be linked by their sizes, and whose sketches are near.
 
     ``low`` and ``high`` are the sizes times denominator and numerator.
     """
     out_x, out_y = [], []
     for k in range(0, len(left), 64):
         part = left[k : k + 64]
-        far = np.zeros((len(part), len(right)), dtype=np.int32)
-        for c in range(sketch.shape[1]):
-            far += np.bitwise_count(sketch[part, None, c] ^ sketch[None, right, c])
         sizes = (low[part, None] >= high[None, right]) & (low[None, right] >= high[part, None])
-        x, y = np.nonzero((far <= most) & sizes & (component[part, None] != component[None, right]))
+        x, y = np.nonzero(sizes & (component[part, None] != component[None, right]))
         x, y = part[x], right[y]
-        new = (keys[x, :band] != keys[y, :band]).all(axis=1)
-        out_x.append(x[new])
-        out_y.append(y[new])
+        far = np.zeros(len(x), dtype=np.int32)
+        for c in range(sketch.shape[1]):
+            far += np.bitwise_count(sketch[x, c] ^ sketch[y, c])
+        out_x.append(x[far <= most])
+        out_y.append(y[far <= most])
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
 def _blocks(most: int, numerator: int, denominator: int):
     """Pairs (a, b) that cross components in the buckets of a group: whole small buckets, or two blocks of a large one."""
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["band", "key"], kind="stable")
-        ids, component, band, key, block = (frame[c].to_numpy() for c in ("id", "component_id", "band", "key", "block"))
-        sketch, keys = np.array(frame["sketch"].tolist(), dtype=np.int64).view(np.uint64), np.array(frame["bands"].tolist(), dtype=np.int64)
-        low, high = denominator * frame["n"].to_numpy(), numerator * frame["n"].to_numpy()
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        begin = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
-        a, b = [], []
-        for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
+
+    def run(table: pa.Table) -> pa.Table:
+        id_, component, key, block, size = (table.column(c).to_numpy() for c in ("id", "component_id", "key", "block", "n"))
+        order = np.argsort(key, kind="stable")
+        id_, component, key, block, size = (x[order] for x in (id_, component, key, block, size))
+        lists = table.column("sketch").combine_chunks()
+        sketch = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(order), -1)[order]
+        low, high = denominator * size, numerator * size
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        a, b = [id_[:0]], [id_[:0]]
+        for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(id_)], strict=True):
             rows = np.arange(start, stop)
             left, right = rows[block[rows] == i], rows[block[rows] == j]
             if len(left) and len(right):
-                x, y = _crossing(left, right, most, sketch, keys, component, int(band[start]), low, high)
-                a.append(ids[x])
-                b.append(ids[y])
-        a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                x, y = _crossing(left, right, most, sketch, component, low, high)
+                a.append(id_[x])
+                b.append(id_[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = materialised(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
-    few = semi(texts.select("doc_id", "text"), ids, "doc_id")
-    left, right = few.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), few.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(words, numerator, denominator), "a long, b long")
+def _linked(pairs: DataFrame, own: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """Those of the written ``pairs`` (a, b) of classes whose full sets are similar enough; a text is a class's if it has its fingerprint."""
+    total = pairs.count()
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(own.select("id", "node", "print"), "id")
+    ends = materialised(ends, "candidates")
+    wanted = ends if ends.count() > BROADCAST_IDS else F.broadcast(ends)
+    few = texts.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
+    left = few.select(F.col("id").alias("a"), F.col("print").alias("print_a"), F.col("text").alias("text_a"))
+    right = few.select(F.col("id").alias("b"), F.col("print").alias("print_b"), F.col("text").alias("text_b"))
+    both = salted_join(pairs, left, "a", "b", total)
+    both = salted_join(both, right, "b", "a", total).select("a", "b", "print_a", "text_a", "print_b", "text_b")
+    return both.mapInArrow(_verify(words, numerator, denominator), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -193,72 +210,89 @@ def near_duplicates(
     empty, white space) links with nothing.  component_id is the smallest id that
     links reach, and kept tells whether it is the document's own.
 
-    Rows of one id are one node of the graph, which has all their links.  A row
-    without an id links with nothing: its component_id is null, and it is kept.
-    No rows give no rows.  Other columns of ``docs`` are ignored.
+    Rows of one id are one node of the graph, which has all their links, whether
+    their texts agree or not.  A row without an id links with nothing: its
+    component_id is null, and it is kept.  No rows give no rows.  Other columns of
+    ``docs`` are ignored.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    texts = picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     made = texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, print binary, sketch array<long>, bands array<long>")
-    made = materialised(made, "signatures")
+    made = materialised(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    total = made.count()
     nodes = made.where("doc_id is not null and print is not null")
-    first = nodes.groupBy("print").agg(F.min("doc_id").alias("node"))
-    own = materialised(nodes.join(first, "print").where("doc_id = node").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "nodes")
-
-    # one proposal for each member of a bucket: its smallest id
-    member = own.select("id", F.posexplode("bands").alias("band", "key"))
-    least = member.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = member.join(least, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sketch = own.select("id", "n", "sketch")
+    # a class of equal sets is named by one of its rows
+    classes = nodes.groupBy("print").agg(F.min("row").alias("id"), F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = materialised(classes, "classes")
+    signed = nodes.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
+    own = materialised(classes.select("id", "node", "print").join(signed, "id"), "own")
+
+    # one proposal for each member of a bucket: its smallest class
+    member = own.select("id", F.explode("bands").alias("key"))
+    least = member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    star = hot_join(member, least, "key", BANDS * total)
+    star = materialised(star.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "proposals")
+    weighed = own.select("id", "n", "sketch")
     alike = denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b")
     near = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most_odd()
-    star = (
-        star.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketch.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(alike & near)
-        .select("a", "b")
-        .distinct()
-    )
-    links = materialised(_linked(materialised(star, "pairs"), texts, words, numerator, denominator), "links")
+    one = salted_join(star, weighed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a", "b", BANDS * total)
+    two = one.join(weighed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    pairs = materialised(two.where(alike & near).select("a", "b"), "pairs")
+    discard(star)
+    links = _linked(pairs, own, texts, words, numerator, denominator)
+
+    # classes that share an id are linked by it
+    twice = nodes.groupBy("doc_id").agg(F.min(F.xxhash64("print")).alias("low"), F.max(F.xxhash64("print")).alias("high")).where("low <> high").select("doc_id")
+    named = hot_join(nodes.select("doc_id", "print"), classes.select("print", "id", F.col("copies").alias("n")), "print", total)
+    shared = semi(named, materialised(twice, "twice"), "doc_id").groupBy("doc_id", "id").agg(F.lit(1)).select("doc_id", "id")
+    first = shared.groupBy("doc_id").agg(F.min("id").alias("a"))
+    links = links.unionByName(shared.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
     component = materialised(connected_components(links), "components")
+    discard(pairs)
 
     # what is left of the buckets: members of several components, compared in blocks
-    held = own.join(component, own["id"] == component["node"], "left").select("id", "sketch", "bands", F.coalesce("component_id", "id").alias("component_id"))
+    held = own.join(component, own["id"] == component["node"], "left").select("id", "n", "sketch", "bands", F.coalesce("component_id", "id").alias("component_id"))
     held = materialised(held, "held")
-    member = held.select("id", "component_id", F.posexplode("bands").alias("band", "key"))
+    member = held.select("id", "component_id", F.explode("bands").alias("key"))
     mixed = (
-        member.groupBy("band", "key")
-        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("members"))
+        member.groupBy("key")
+        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("n"))
         .where("low < high")
-        .select("band", "key", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     )
     mixed = materialised(mixed, "mixed")
-    groups = max(1, mixed.count() // SMALL)
-    bucket = F.xxhash64("band", "key")
+    few = mixed.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()[0]
+    groups = max(1, few // TOGETHER)
     dealt = (
-        member.join(mixed, ["band", "key"])
+        hot_join(member, mixed, "key", BANDS * total)
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("group", F.when(F.col("blocks") > 1, bucket).otherwise(F.pmod(bucket, F.lit(groups))))
-        .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(own, "id")
-    )
-    crossing = dealt.groupBy("group", "i", "j").applyInPandas(_blocks(most_odd(), numerator, denominator), "a long, b long").distinct()
-    more = _linked(materialised(crossing, "pairs"), texts, words, numerator, denominator)
-    component = connected_components(links.unionByName(more))
-
-    named = made.select("doc_id", "n_shingles", "print").join(first, "print", "left")
-    return named.join(component, "node", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "node", "doc_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component_id", "node", "doc_id"))).alias("kept"),
+        .withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(groups))))
+        .select("group", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(held.select("id", "n", "sketch"), "id")
     )
+    crossing = dealt.groupBy("group", "i", "j").applyInArrow(_blocks(most_odd(), numerator, denominator), "a long, b long").distinct()
+    pairs = materialised(crossing, "pairs")
+    if not pairs.isEmpty():
+        more = _linked(pairs, own, texts, words, numerator, denominator)
+        component = materialised(connected_components(component.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more)), "components")
+    discard(held, mixed, pairs)
+
+    # a component is named by its smallest document
+    classes = classes.join(component, classes["id"] == component["node"], "left").select("print", "copies", classes["node"], F.coalesce("component_id", "id").alias("root"))
+    root = classes.groupBy("root").agg(F.min("node").alias("component_id"), F.count("*").alias("n"))
+    classes = materialised(hot_join(classes.select("print", "copies", "root"), root, "root", total).select("print", F.col("copies").alias("n"), "component_id"), "named")
+    linked = hot_join(nodes.select("doc_id", "n_shingles", "print"), classes, "print", total).select("doc_id", "n_shingles", "component_id")
+    # a document without words may share its id with one that has some
+    alone = made.where("doc_id is null or print is null").select("doc_id", "n_shingles")
+    wordless = materialised(alone.where("doc_id is not null").select("doc_id").distinct(), "wordless")
+    elsewhere = semi(linked.select("doc_id", "component_id"), wordless, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(elsewhere, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without those that aren't the first of their component; of rows that repeat an id and a text one stays."""
-    found = near_duplicates(docs, id_column, text_column)
-    found = materialised(found, "near")
+    found = materialised(near_duplicates(docs, id_column, text_column), "near")
     gone = materialised(found.where("not kept").select(F.col("doc_id").alias(id_column)).distinct(), "gone")
     again = materialised(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_column)).agg(F.count("*").alias("n")).where("n > 1").select(id_column), "again")
     rest = semi(docs, gone, id_column, "left_anti")
