@@ -138,6 +138,15 @@ def test_odd_sketch_estimates_high_similarities():
         assert odd <= near_dedup.most_odd()
 
 
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 300, 5000):
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        for shift in (0, n // 7, n):
+            x, y = (near_dedup.parity(s).view(np.uint64) for s in (pool[:n], pool[shift : n + shift]))
+            assert np.bitwise_count(x ^ y).sum() <= 2 * shift
+
+
 def test_components_of_chains_ties_and_loops(spark):
     links = [(k, k + 1) for k in range(10, 40)] + [(7, 7), (3, 2), (2, 3), (3, 2), (None, 1)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -248,7 +257,7 @@ def test_byte_bpe_agrees_with_the_library():
     library.encode_special_tokens = True
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("abcé '\n\t 　.,1漢 ") for _ in range(rng.randint(1, 200))) for _ in range(200)]
-    ids, before = byte_bpe.batch_ids(pa.array(texts), path)
+    ids, before = byte_bpe.batch_ids(pa.array(texts), byte_bpe.read(path))
     for k, text in enumerate(texts):
         assert ids[before[k] : before[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
 
@@ -258,7 +267,7 @@ def test_packing_covers_every_id_once(spark):
     rows = list(enumerate(ODD + [" ".join(rng.choice(["alpha", "beta", "gamma", "x"]) for _ in range(rng.randint(0, 2500))) for _ in range(60)])) + [(0, "again"), (None, "null id")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS ids").repartition(3)
     pieces = packing.pack_documents(docs).toPandas()
-    from weftline.llm.byte_bpe import batch_ids, default_path
+    from weftline.llm.byte_bpe import batch_ids, default_path, read
 
     size = pieces.ids.map(len) // 4
     for _, seq in pieces.assign(n=size).sort_values("offset").groupby("sequence_id"):
@@ -267,7 +276,7 @@ def test_packing_covers_every_id_once(spark):
         assert total == 1024 or total & (total - 1) == 0
         assert seq.offset.tolist() == [0, *seq.n.cumsum().tolist()[:-1]]
     unique = [(i, t) for i, t in rows if i not in (0, None)]
-    ids, before = batch_ids(pa.array([t for _, t in unique]), default_path())
+    ids, before = batch_ids(pa.array([t for _, t in unique]), read(default_path()))
     for k, (i, _) in enumerate(unique):
         own = pieces[pieces.doc_id == i].sort_values("start")
         whole = b"".join(own.ids)
@@ -340,6 +349,10 @@ def test_encoding_agrees_with_the_library(spark, piece_model):
     assert [r.ids for r in back] == [library.encode(t or "") for t in texts]
     assert [r.decoded for r in back] == [(t or "").replace("▁", " ") for t in texts]
     assert sentencepiece_codec.encode(spark.createDataFrame([], DOCS)).count() == 0
+    short = {r.doc_id: r for r in sentencepiece_codec.digest(docs.withColumnRenamed("ids", "TEXT_")).collect()}
+    for r in back:
+        assert (short[r.doc_id].n_ids, short[r.doc_id].ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()))
+        assert short[r.doc_id].round_trip == (r.decoded == (texts[r.doc_id] or ""))
 
 
 @pytest.mark.parametrize("unigram", [False, True])
@@ -349,8 +362,7 @@ def test_streaming_commits_within_a_window(piece_model, unigram):
     data = as_unigram(piece_model) if unigram else piece_model
     model, library = sentencepiece_codec.Model(data), sentencepiece.SentencePieceProcessor(model_proto=data)
     text = model.normal("the thing inherently retained " * 40)
-    seen = 0
-    pieces = []
+    seen, ids = 0, []
 
     def chunks():
         nonlocal seen
@@ -358,12 +370,14 @@ def test_streaming_commits_within_a_window(piece_model, unigram):
             seen += 1
             yield c
 
-    widest = 0
-    for piece in model.stream(chunks()):
-        pieces.append(piece)
-        widest = max(widest, seen - sum(map(len, pieces)))
+    widest = settled = commits = 0
+    for found, size in model.stream(chunks()):
+        ids += found
+        settled, commits = settled + size, commits + 1
+        widest = max(widest, seen - settled)
+    pieces = [model.pieces[i] for i in ids]
     assert "".join(pieces) == text
-    assert widest <= 4 * model.longest
+    assert widest <= 4 * model.longest and commits > 5
     if unigram:
         score = [0.0] + [-1e18] * len(text)
         for i in range(1, len(text) + 1):
@@ -371,9 +385,9 @@ def test_streaming_commits_within_a_window(piece_model, unigram):
                 k = model.ids.get(text[j:i])
                 if k is not None or j == i - 1:
                     score[i] = max(score[i], score[j] + (model.scores[k] if k is not None else model.least - sentencepiece_codec.UNKNOWN_PENALTY))
-        assert sum(model.scores[model.ids[p]] for p in pieces) == score[-1]
+        assert sum(model.scores[i] for i in ids) == score[-1]
     else:
-        assert model.ids_of(pieces) == library.encode("the thing inherently retained " * 40)
+        assert ids == library.encode("the thing inherently retained " * 40)
 
 
 def test_ordinal_regression_recovers_ordered_grades():

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import pickle
+import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,27 +28,42 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Each token's bytes in order of their ids, compressed, and the pattern that splits texts: what workers need of the file."""
+
+    packed: bytes
+    pattern: str
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str):
-    """Ids are ranks of merges in such vocabularies, so that tiktoken gives what ``tokenizers`` gives, in less time."""
+def read(path: str) -> Vocabulary:
+    """The vocabulary of a file on the driver, without special tokens."""
     import public_tokenizers
-    import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {x["content"] for x in model.get("added_tokens", [])}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Vocabulary(zlib.compress(pickle.dumps(ranks)), public_tokenizers.PATTERN)
+
+
+@lru_cache(maxsize=2)
+def _encoding(vocabulary: Vocabulary):
+    """Ids are ranks of merges in such vocabularies, so that tiktoken gives what ``tokenizers`` gives, in less time."""
+    import tiktoken
+
+    return tiktoken.Encoding("byte_bpe", pat_str=vocabulary.pattern, mergeable_ranks=pickle.loads(zlib.decompress(vocabulary.packed)), special_tokens={})
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> units.UnitCache:
-    encode = _encoding(path).encode_ordinary
+def _cache(vocabulary: Vocabulary) -> units.UnitCache:
+    encode = _encoding(vocabulary).encode_ordinary
     return units.UnitCache(lambda unit: encode(unit.decode()))
 
 
-def batch_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def batch_ids(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in order, and the number of ids before each text (one more at the end); null is empty.
 
     Special tokens' strings in a text are ordinary text; none is added.
@@ -54,5 +72,5 @@ def batch_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
     starts, ends, first = units.cut_at(data, offsets, units.lone_spaces(data, offsets))
-    ids, before = units.encoded(starts, ends, bh.hash_spans(data, starts, ends), data.tobytes(), _cache(path))
+    ids, before = units.encoded(starts, ends, bh.hash_spans(data, starts, ends), data.tobytes(), _cache(vocabulary))
     return ids, before[first]

@@ -3,7 +3,9 @@
 1. One pass over the texts makes each document's set of word shingles and of it a
    fingerprint, MinHash values folded into bands, and an odd sketch: a bitmap in
    which each MinHash sample flips one bit, so that the XOR of two sketches has a
-   population count from which a high similarity can be read precisely.
+   population count from which a high similarity can be read precisely.  A second
+   bitmap, in which each member of the set flips one bit, bounds the symmetric
+   difference from below, and so rules out pairs with certainty.
 2. Equal sets are one class, which is one node.  In each bucket every node is proposed to the smallest
    one only; what the sketches allow is verified on the full sets, and links are
    contracted to components.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
@@ -68,6 +70,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the set's own members in each of BITS cells, as BITS/64 longs: two of them differ in no more cells than the sets in members."""
+    odd = (np.bincount((bh.mix(shingles) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def most_odd(floor: float = FLOOR) -> int:
     """The largest XOR population count whose estimate 1 + BITS/(4 SAMPLES) ln(1 - 2 count/BITS) is at least ``floor``."""
     return int(BITS / 2 * (1 - np.exp((floor - 1) * 4 * SAMPLES / BITS)))
@@ -94,17 +102,16 @@ def _signatures(words: int):
         for whole in batches:
             for i in range(0, len(whole), _SAFE_ROWS):
                 batch = whole.slice(i, _SAFE_ROWS)
-                sizes, prints, sketches, bands = [], [], [], []
+                sizes, prints, sketches, parities, bands = [], [], [], [], []
                 for found in shingle_sets(batch.column(1), words):
                     sizes.append(len(found))
                     prints.append(fingerprint(found) if len(found) else None)
                     samples = minhash(found) if len(found) else None
                     sketches.append(None if samples is None else odd_sketch(samples))
+                    parities.append(None if samples is None else parity(found))
                     bands.append(None if samples is None else band_keys(samples))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "print", "sketch", "bands"],
-                )
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, parities, bands)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names=["doc_id", "n_shingles", "print", "sketch", "parity", "bands"])
             del whole
             give_back()
 
@@ -132,24 +139,23 @@ def _verify(words: int, numerator: int, denominator: int):
     return run
 
 
-def _crossing(
-    left: np.ndarray, right: np.ndarray, most: int, sketch: np.ndarray, component: np.ndarray, low: np.ndarray, high: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pairs between two blocks that differ in component, may be linked by their sizes, and whose sketches are near.
-
-    ``low`` and ``high`` are the sizes times denominator and numerator.
-    """
+def _crossing(left: np.ndarray, right: np.ndarray, most: int, member: dict[str, np.ndarray], earlier: int, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs between two blocks that differ in component, agree in no ``earlier`` band, and may be linked by sizes, parities and sketches."""
+    n, component = member["n"], member["component_id"]
     out_x, out_y = [], []
     for k in range(0, len(left), 64):
         part = left[k : k + 64]
-        sizes = (low[part, None] >= high[None, right]) & (low[None, right] >= high[part, None])
+        sizes = (denominator * n[part, None] >= numerator * n[None, right]) & (denominator * n[None, right] >= numerator * n[part, None])
         x, y = np.nonzero(sizes & (component[part, None] != component[None, right]))
         x, y = part[x], right[y]
-        far = np.zeros(len(x), dtype=np.int32)
-        for c in range(sketch.shape[1]):
-            far += np.bitwise_count(sketch[x, c] ^ sketch[y, c])
-        out_x.append(x[far <= most])
-        out_y.append(y[far <= most])
+        for bitmap, limit in (("parity", (denominator - numerator) * (n[x] + n[y]) // (denominator + numerator)), ("sketch", most)):
+            far = np.zeros(len(x), dtype=np.int64)
+            for c in range(member[bitmap].shape[1]):
+                far += np.bitwise_count(member[bitmap][x, c] ^ member[bitmap][y, c])
+            x, y = x[far <= limit], y[far <= limit]
+        new = (member["bands"][x, :earlier] != member["bands"][y, :earlier]).all(axis=1)
+        out_x.append(x[new])
+        out_y.append(y[new])
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
@@ -157,20 +163,20 @@ def _blocks(most: int, numerator: int, denominator: int):
     """Pairs (a, b) that cross components in the buckets of a group: whole small buckets, or two blocks of a large one."""
 
     def run(table: pa.Table) -> pa.Table:
-        id_, component, key, block, size = (table.column(c).to_numpy() for c in ("id", "component_id", "key", "block", "n"))
-        order = np.argsort(key, kind="stable")
-        id_, component, key, block, size = (x[order] for x in (id_, component, key, block, size))
-        lists = table.column("sketch").combine_chunks()
-        sketch = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(order), -1)[order]
-        low, high = denominator * size, numerator * size
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        member = {c: table.column(c).to_numpy()[order] for c in ("id", "component_id", "band", "key", "block", "n")}
+        for c in ("sketch", "parity", "bands"):
+            member[c] = table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(order), -1)[order]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, id_ = member["key"], member["id"]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         a, b = [id_[:0]], [id_[:0]]
         for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(id_)], strict=True):
             rows = np.arange(start, stop)
-            left, right = rows[block[rows] == i], rows[block[rows] == j]
+            left, right = rows[member["block"][rows] == i], rows[member["block"][rows] == j]
             if len(left) and len(right):
-                x, y = _crossing(left, right, most, sketch, component, low, high)
+                # what agrees in an earlier band is found there
+                x, y = _crossing(left, right, most, member, int(member["band"][start]), numerator, denominator)
                 a.append(id_[x])
                 b.append(id_[y])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -216,14 +222,14 @@ def near_duplicates(
     ``docs`` are ignored.
     """
     texts = picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
-    made = texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, print binary, sketch array<long>, bands array<long>")
+    made = texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, print binary, sketch array<long>, parity array<long>, bands array<long>")
     made = materialised(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
     total = made.count()
     nodes = made.where("doc_id is not null and print is not null")
     # a class of equal sets is named by one of its rows
     classes = nodes.groupBy("print").agg(F.min("row").alias("id"), F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = materialised(classes, "classes")
-    signed = nodes.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
+    signed = nodes.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "sketch", "parity", "bands")
     own = materialised(classes.select("id", "node", "print").join(signed, "id"), "own")
 
     # one proposal for each member of a bucket: its smallest class
@@ -231,11 +237,15 @@ def near_duplicates(
     least = member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     star = hot_join(member, least, "key", BANDS * total)
     star = materialised(star.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "proposals")
-    weighed = own.select("id", "n", "sketch")
+    bitmaps = own.select("id", "n", "sketch", "parity")
     alike = denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b")
-    near = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most_odd()
-    one = salted_join(star, weighed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a", "b", BANDS * total)
-    two = one.join(weighed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+
+    def odd(name: str) -> Column:
+        return F.aggregate(F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    near = ((denominator + numerator) * odd("parity") <= (denominator - numerator) * (F.col("n_a") + F.col("n_b"))) & (odd("sketch") <= most_odd())
+    one = salted_join(star, bitmaps.toDF("a", "n_a", "sketch_a", "parity_a"), "a", "b", BANDS * total)
+    two = one.join(bitmaps.toDF("b", "n_b", "sketch_b", "parity_b"), "b")
     pairs = materialised(two.where(alike & near).select("a", "b"), "pairs")
     discard(star)
     links = _linked(pairs, own, texts, words, numerator, denominator)
@@ -250,9 +260,9 @@ def near_duplicates(
     discard(pairs)
 
     # what is left of the buckets: members of several components, compared in blocks
-    held = own.join(component, own["id"] == component["node"], "left").select("id", "n", "sketch", "bands", F.coalesce("component_id", "id").alias("component_id"))
+    held = own.join(component, own["id"] == component["node"], "left").select("id", "n", "sketch", "parity", "bands", F.coalesce("component_id", "id").alias("component_id"))
     held = materialised(held, "held")
-    member = held.select("id", "component_id", F.explode("bands").alias("key"))
+    member = held.select("id", "component_id", F.posexplode("bands").alias("band", "key"))
     mixed = (
         member.groupBy("key")
         .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("n"))
@@ -267,8 +277,8 @@ def near_duplicates(
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(groups))))
-        .select("group", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(held.select("id", "n", "sketch"), "id")
+        .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(held.select("id", "n", "sketch", "parity", "bands"), "id")
     )
     crossing = dealt.groupBy("group", "i", "j").applyInArrow(_blocks(most_odd(), numerator, denominator), "a long, b long").distinct()
     pairs = materialised(crossing, "pairs")

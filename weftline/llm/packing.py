@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe, units
+from weftline.llm.shared import give_back, picked
 
 TOKENS = 1024
 SEGMENTS = 128
@@ -183,8 +184,8 @@ def pack_documents(
 ) -> DataFrame:
     """The pieces of sequences of at most ``tokens`` ids, ``segments`` pieces and ``loss_tokens`` ids with loss.
 
-    A document's ids are its text's by the byte-level vocabulary file ``tokenizer``
-    and END; a null or empty text has END alone.  Without ``loss_column`` documents
+    A document's ids are its text's by the byte-level vocabulary file ``tokenizer``,
+    which the driver reads and sends along, and END; a null or empty text has END alone.  Without ``loss_column`` documents
     are cut where that fills a sequence, and a sequence that nothing more can fill
     is split into powers of two, so that none needs padding.  With it (the number
     of an example's ids that bear loss, null for 0) examples stay whole; one beyond
@@ -193,17 +194,17 @@ def pack_documents(
     (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (ids before it
     in the sequence), loss_tokens.  No rows give no rows.
     """
-    path = tokenizer or byte_bpe.default_path()
-    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")]
+    vocabulary = byte_bpe.read(tokenizer or byte_bpe.default_path())
+    rows = picked(docs, doc_id=id_column, text=text_column, **({"loss": loss_column} if loss_column else {})).withColumn("doc_id", F.col("doc_id").cast("long"))
     if loss_column:
-        columns.append(F.coalesce(F.col(loss_column).cast("long"), F.lit(0).cast("long")).alias("loss"))
+        rows = rows.withColumn("loss", F.coalesce(F.col("loss").cast("long"), F.lit(0).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer = Packer(tokens, segments, loss_tokens, loss_column is None, TaskContext.get().partitionId() << 33)
         for batch in units.slices(batches, 1):
-            ids, before = byte_bpe.batch_ids(batch.column(1), path)
+            ids, before = byte_bpe.batch_ids(batch.column(1), vocabulary)
             names = batch.column(0).to_pylist()
             loss = batch.column(2).to_pylist() if loss_column else None
             for k, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
@@ -214,5 +215,6 @@ def pack_documents(
             yield packer.pieces()
         packer.finish()
         yield packer.pieces()
+        give_back()
 
-    return docs.select(columns).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

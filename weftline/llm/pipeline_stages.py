@@ -11,9 +11,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely clean than toxic."""
+    """Documents whose probability of being toxic is below what held-out labelled rows ask for."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("toxic_probability") < toxicity.REJECT).select(docs.columns)
+    return toxicity.score(docs, model).where(F.col("toxic_probability") < model.reject).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

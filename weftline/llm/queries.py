@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, their CRC-32 as little-endian 32-bit numbers, and whether decoding gives the text again."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).select("doc_id", "text", "ids", "decoded")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [b"" if x is None else x.values.to_numpy().astype("<u4").tobytes() for x in batch.column(2)]
-            same = pc.equal(pc.fill_null(batch.column(1), ""), batch.column(3))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in lists], pa.int64()), pa.array(map(zlib.crc32, lists), pa.int64()), same], names=["doc_id", "n_ids", "ids_crc32", "round_trip"]
-            )
-
-    return both.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return sentencepiece_codec.digest(_table(spark, sf_dir, "documents"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +30,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_probability", 6).alias("toxic_probability"), "severity_grade", (F.col("toxic_probability") >= toxicity.REJECT).alias("toxic"))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_probability", 6).alias("toxic_probability"), "severity_grade", (F.col("toxic_probability") >= model.reject).alias("toxic"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import units
+from weftline.llm.shared import give_back, index_of, widened, without
 
 #: The kinds in the order in which spans of one start are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "literal")
@@ -187,29 +188,28 @@ def find_secrets(docs: DataFrame, text_column: str = "text", spans_column: str =
 
     Starts and ends count code points, the end exclusive.  Null and empty texts have
     no spans; a null stays null when redacted.  All rows and columns stay, but ones
-    named like the new ones are replaced.  Kinds are those of KINDS: ``assign``,
+    named like the new ones, in capitals or not, are replaced.  Kinds are those of KINDS: ``assign``,
     ``access`` and ``hex`` are fixed patterns, ``literal`` is what the lexer adds.
     """
     new = [c for c in (spans_column, redacted_column) if c]
-    kept = [c for c in docs.columns if c not in new or c == text_column]
-    docs = docs.select(kept)
-    at = kept.index(text_column)
-    out = docs.withColumn(spans_column, F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>"))
-    if redacted_column:
-        out = out.withColumn(redacted_column, F.lit(None).cast("string"))
-    names = out.columns
+    docs = without(docs, *[c for c in new if c.lower() != text_column.lower()])
+    at = index_of(docs, text_column)
+    if text_column.lower() in {c.lower() for c in new}:
+        raise ValueError("the new columns need names of their own")
+    schema = widened(docs, **{spans_column: "array<struct<kind:string,start:bigint,end:bigint>>"}, **({redacted_column: "string"} if redacted_column else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in units.slices(batches, at):
             texts = batch.column(at).to_pylist()
             found = [spans(t or "", threshold) for t in texts]
-            columns = dict(zip(kept, batch.columns, strict=True))
-            columns[spans_column] = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], pa.list_(_SPAN))
+            columns = [*batch.columns, pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], pa.list_(_SPAN))]
             if redacted_column:
-                columns[redacted_column] = pa.array([redacted(t, x) if x and t else t for t, x in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+                columns.append(pa.array([redacted(t, x) if x and t else t for t, x in zip(texts, found, strict=True)], pa.string()))
+            del texts, found
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
-    return docs.mapInArrow(run, out.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def digest(kinds: tuple[str, ...] = KINDS, spans_column: str = "spans"):

@@ -15,16 +15,19 @@ library that defines them.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm import units
+from weftline.llm.shared import give_back, index_of, picked, widened, without
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -123,69 +126,51 @@ class Model:
                 self._steps[before, piece] = known
         return known
 
-    def word(self, window: str) -> list[int] | None:
-        """The ids of a text within one window of a merge model, for which nothing has to be committed early; None if a character is unknown.
-
-        The lattice is that of ``stream``; of the pieces that end at a boundary just one is allowed, so the shortest are tried first.
-        """
-        tails, fast, start = self._tails, self._fast, len(self.pieces)
-        last, back = [start], [0]
-        for i in range(1, len(window) + 1):
-            j = i - 1
-            while j >= 0:
-                k = tails.get(window[j:i])
-                if k is None:
-                    return None
-                if k >= 0:
-                    step = last[j] << 20 | k
-                    fits = fast.get(step)
-                    if fits is None:
-                        fits = self.allowed(self.pieces[last[j]] if last[j] < start else "", self.pieces[k])
-                        if len(fast) < 1 << 18:
-                            fast[step] = fits
-                    if fits:
-                        break
-                j -= 1
-            else:
-                return None
-            last.append(k)
-            back.append(j)
-        out, i = [], len(window)
-        while i:
-            out.append(last[i])
-            i = back[i]
-        return out[::-1]
-
-    def stream(self, chunks: Iterable[str]) -> Iterator[str]:
-        """The best path's pieces, of a text with SPACE for spaces that comes in chunks; an unknown character is a piece.
+    def stream(self, chunks: Iterable[str]) -> Iterator[tuple[list[int], int]]:
+        """The best path's ids, of a text with SPACE for spaces that comes in chunks: whenever a boundary is settled its ids and characters since the last.
 
         Besides the window of twice the longest piece, only what no common boundary has settled yet is held.
         """
-        merging, longest, ids, scores = self.kind == BPE, self.longest, self.ids, self.scores
+        merging, longest, ids, scores, tails, fast, start = self.kind == BPE, self.longest, self.ids, self.scores, self._tails, self._fast, len(self.pieces)
         window, i, checked = "", 0, 0  # characters from the last committed boundary on; boundaries reached and settled
-        back, last, best = [0], [""], [0.0]  # of each boundary: start of its last piece, that piece, the path's score
+        back, last, best = [0], [start], [0.0]  # of each boundary: start of its last piece, that piece (or ``start`` for none: an unknown character), the path's score
+        unknown = False
         for chunk in chunks:
             window += chunk
             while i < len(window):
                 i += 1
                 if merging:
-                    for j in range(i - longest if i > longest else 0, i):
-                        piece = window[j:i]
-                        if (piece in ids or j == i - 1) and self.allowed(last[j], piece):
+                    # of the pieces that end here just one is allowed, so the shortest are tried first
+                    j = i - 1
+                    while True:
+                        k = tails.get(window[j:i])
+                        if k is None:
+                            k, j = start, i - 1
                             break
-                    back.append(j)
-                    last.append(piece)
+                        if k >= 0:
+                            step = last[j] << 20 | k
+                            fits = fast.get(step)
+                            if fits is None:
+                                fits = self.allowed(self.pieces[last[j]] if last[j] < start else "", self.pieces[k])
+                                if len(fast) < 1 << 18:
+                                    fast[step] = fits
+                            if fits:
+                                break
+                        if not j:
+                            k, j = start, i - 1
+                            break
+                        j -= 1
                 else:
-                    top, start = None, i - 1
-                    for j in range(i - longest if i > longest else 0, i):
-                        k = ids.get(window[j:i])
-                        if k is None and j < i - 1:
-                            continue
-                        score = best[j] + (self.least - UNKNOWN_PENALTY if k is None else scores[k])
-                        if top is None or score > top:
-                            top, start = score, j
-                    back.append(start)
+                    top, j, k = best[i - 1] + self.least - UNKNOWN_PENALTY, i - 1, start
+                    for h in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                        found = tails.get(window[h:i])
+                        if found is None:
+                            break
+                        if found >= 0 and (k == start or best[h] + scores[found] > top):
+                            top, j, k = best[h] + scores[found], h, found
                     best.append(top)
+                back.append(j)
+                last.append(k)
                 if i - checked >= 2 * longest:
                     checked = i
                     alive = set(range(i + 1 - longest, i + 1))  # boundaries from which a piece may still start
@@ -194,30 +179,32 @@ class Model:
                         alive.remove(most)
                         alive.add(back[most])
                     settled = alive.pop()
-                    yield from self._path(window, back, settled)
-                    window, i, checked = window[settled:], i - settled, checked - settled
-                    back = [0, *(b - settled for b in back[settled + 1 :])] if settled else back
-                    last, best = last[settled:] if merging else last, best if merging else best[settled:]
-        yield from self._path(window, back, i)
-
-    @staticmethod
-    def _path(window: str, back: list[int], end: int) -> list[str]:
-        cuts = [end]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        return [window[a:b] for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True)]
-
-    def ids_of(self, pieces: Iterable[str]) -> list[int]:
+                    if settled:
+                        out, unknown = self._path(window, back, last, settled, unknown)
+                        yield out, settled
+                        window, i, checked = window[settled:], i - settled, checked - settled
+                        back = [0, *(b - settled for b in back[settled + 1 :])]
+                        last, best = last[settled:], best if merging else best[settled:]
+        if i:
+            yield self._path(window, back, last, i, unknown)[0], i
+
+    def _path(self, window: str, back: list[int], last: list[int], end: int, unknown: bool) -> tuple[list[int], bool]:
+        """Ids of the path to a boundary, and whether it ends in the unknown id, which a run of unknown characters has once; ``unknown``: so did what is before it."""
+        start, steps = len(self.pieces), []
+        while end:
+            steps.append((last[end], back[end]))
+            end = back[end]
         out: list[int] = []
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
+        for k, j in reversed(steps):
+            if k < start:
+                out.append(k)
+                unknown = False
             elif len(self.byte_ids) == 256:
-                out.extend(self.byte_ids[b] for b in piece.encode())
-            elif not out or out[-1] != self.unknown:
+                out.extend(self.byte_ids[b] for b in window[j].encode())
+            elif not unknown:
                 out.append(self.unknown)
-        return out
+                unknown = True
+        return out, unknown
 
     def normal(self, text: str) -> str:
         if self.squeeze:
@@ -227,7 +214,7 @@ class Model:
         return text.replace(" ", SPACE)
 
     def encode(self, text: str) -> list[int]:
-        return self.ids_of(self.stream([self.normal(text)]))
+        return [i for ids, _ in self.stream([self.normal(text)]) for i in ids]
 
     def decode(self, ids: np.ndarray, before: np.ndarray) -> list[str]:
         """Texts of the id sequences between successive offsets ``before``; bytes that aren't UTF-8 become U+FFFD."""
@@ -251,9 +238,7 @@ def _cache(data: bytes) -> units.UnitCache:
     model = _model(data)
 
     def encode(unit: bytes) -> list[int]:
-        text = unit.decode().replace(" ", SPACE)
-        ids = model.word(text) if model.kind == BPE and len(text) <= 2 * model.longest else None
-        return model.ids_of(model.stream([text])) if ids is None else ids
+        return [i for ids, _ in model.stream([unit.decode().replace(" ", SPACE)]) for i in ids]
 
     return units.UnitCache(encode)
 
@@ -294,6 +279,12 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _beside(docs: DataFrame, new: str, old: str) -> DataFrame:
+    if new.lower() == old.lower():
+        raise ValueError("the new column needs a name of its own")
+    return without(docs, new)
+
+
 def encode(docs: DataFrame, text_column: str = "text", ids_column: str = "ids", model: str | None = None) -> DataFrame:
     """``docs`` with the ids (array<int>) of its texts by the model file, which the driver reads and sends along.
 
@@ -302,16 +293,17 @@ def encode(docs: DataFrame, text_column: str = "text", ids_column: str = "ids",
     and columns stay; a column named like ``ids_column`` is replaced.
     """
     data = _read(model or default_path())
-    docs = docs.drop(ids_column) if ids_column.lower() in [c.lower() for c in docs.columns] else docs
-    at = docs.columns.index(text_column)
+    docs = _beside(docs, ids_column, text_column)
+    at = index_of(docs, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in units.slices(batches, at):
             ids, before = batch_ids(batch.column(at), data)
             lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_column])
+        give_back()
 
-    return docs.mapInArrow(run, docs.withColumn(ids_column, F.lit(None).cast("array<int>")).schema)
+    return docs.mapInArrow(run, widened(docs, **{ids_column: "array<int>"}))
 
 
 def decode(docs: DataFrame, ids_column: str = "ids", text_column: str = "decoded", model: str | None = None) -> DataFrame:
@@ -320,8 +312,8 @@ def decode(docs: DataFrame, ids_column: str = "ids", text_column: str = "decoded
     An id beyond the model raises.  All rows and columns stay; a column named like ``text_column`` is replaced.
     """
     data = _read(model or default_path())
-    docs = docs.drop(text_column) if text_column.lower() in [c.lower() for c in docs.columns] else docs
-    at = docs.columns.index(ids_column)
+    docs = _beside(docs, text_column, ids_column)
+    at = index_of(docs, ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -331,5 +323,26 @@ def decode(docs: DataFrame, ids_column: str = "ids", text_column: str = "decoded
                 size = np.fromiter((0 if n is None else n for n in lists.value_lengths().to_pylist()), dtype=np.int64, count=len(batch))
                 texts = _model(data).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(size))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
+        give_back()
+
+    return docs.mapInArrow(run, widened(docs, **{text_column: "string"}))
 
-    return docs.mapInArrow(run, docs.withColumn(text_column, F.lit(None).cast("string")).schema)
+
+def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None) -> DataFrame:
+    """Of each row its id, how many ids its text has, their CRC-32 as little-endian 32-bit numbers, and whether decoding them gives the text again.
+
+    doc_id, n_ids, ids_crc32, round_trip: encoding and decoding in one pass, by the same search as ``encode`` and ``decode``.
+    """
+    data = _read(model or default_path())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in units.slices(batches, 1):
+            ids, before = batch_ids(batch.column(1), data)
+            raw = ids.astype("<u4").tobytes()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+            back = pa.array(_model(data).decode(ids.astype(np.int64), before), pa.string())
+            same = pc.equal(pc.fill_null(batch.column(1), ""), back)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before)), pa.array(crc, pa.int64()), same], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+        give_back()
+
+    return picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

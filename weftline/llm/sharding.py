@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import index_of, without
+
 #: Slots, a prime far above the number of shards.
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -58,27 +60,26 @@ def place(docs: DataFrame, key_column: str = "doc_id", shards: Sequence[str] = S
     Rows of one key go to one shard.  With ``spread_by`` a key that holds more than
     HOT_SHARE of the rows goes to as many as SPREAD slots, by that column's hash.
     Null keys are a key of their own.  All rows and columns stay, but ones named
-    like the new ones are replaced.
+    like the new ones, in capitals or not, are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.select([c for c in docs.columns if c not in ("slot", "shard")])
-    hashed = F.xxhash64(F.col(key_column).isNull(), F.col(key_column))
+    docs = without(docs, "slot", "shard")
+    # whatever the columns are called: by position
+    names, plain = docs.columns, docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    key = F.col(f"_{index_of(docs, key_column)}")
+    hashed = F.xxhash64(key.isNull(), key)
     if spread_by:
-        counts = docs.groupBy(key_column).agg(F.count("*").alias("n"))
-        total = docs.count()
+        by = F.col(f"_{index_of(docs, spread_by)}")
+        counts = plain.select(key.alias("hot"), F.lit(1).alias("found")).groupBy("hot", "found").agg(F.count("*").alias("n"))
         # fewer than 1 / HOT_SHARE keys
-        hot = counts.where(F.col("n") > HOT_SHARE * total).select(F.col(key_column).alias("_hot"))
-        docs = docs.join(F.broadcast(hot), F.col(key_column).eqNullSafe(F.col("_hot")) & F.lit(True), "left") if total else docs.withColumn("_hot", F.lit(None))
-        null_hot = bool(total) and not hot.where("_hot is null").isEmpty()
-        is_hot = F.col("_hot").isNotNull() | (F.col(key_column).isNull() & F.lit(null_hot))
-        salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+        hot = counts.where(F.col("n") > HOT_SHARE * docs.count()).select("hot", "found")
+        plain = plain.join(F.broadcast(hot), key.eqNullSafe(F.col("hot")), "left")
+        salt = F.when(F.col("found").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
         hashed = F.when(salt == 0, hashed).otherwise(F.xxhash64(hashed, salt))
-        docs = docs.withColumn("slot", F.pmod(hashed, F.lit(slots)).cast("int")).drop("_hot")
-    else:
-        docs = docs.withColumn("slot", F.pmod(hashed, F.lit(slots)).cast("int"))
+    plain = plain.withColumn("slot", F.pmod(hashed, F.lit(slots)).cast("int"))
     table = lookup_table(shards, slots)
     rows = spark.createDataFrame([(k, shards[i]) for k, i in enumerate(table.tolist())], "slot int, shard string")
-    return docs.join(F.broadcast(rows), "slot").select(*[c for c in docs.columns if c != "slot"], "slot", "shard")
+    return plain.join(F.broadcast(rows), "slot").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm import units
-from weftline.llm.shared import materialised
+from weftline.llm.shared import give_back, index_of, materialised, picked, widened, without
 
 #: Labelled rows that the model is fitted on, the first by hash of their id; all are used if there are fewer.
 TRAIN_ROWS = 8192
@@ -27,10 +27,13 @@ TRAIN_ROWS = 8192
 FEATURES, LEAST_DOCS = 4096, 3
 #: Bytes of a word's beginning that are features beside the word.
 BEGINNINGS = (3, 4, 5, 6)
-#: Grades: clean, toxic, and toxic more densely than half of the toxic sample.
+#: Grades: clean, toxic, and toxic more densely than half of the toxic sample.  Labels know toxic or not; the third grade is a construction,
+#: by the share of a text that is made of features which the sample has in toxic texts alone.
 GRADES = 3
-#: Probability of being toxic at all from which a document is rejected: toxic rows are rare, and clean ones stay far below it.
-REJECT = 0.25
+#: Of the sampled rows one in so many, by hash of the id, is held out: on these the penalty and the probability of rejection are chosen.
+HELD_OUT = 5
+#: Penalties tried, and clean documents rejected that weigh as much as one toxic document missed, inverted.
+PENALTIES, CLEAN_WEIGHT = (1e-4, 1e-3, 1e-2), 10.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -69,11 +72,12 @@ def _value(count: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature keys with their weights, and the ascending cuts."""
+    """Sorted feature keys with their weights, the ascending cuts, and the probability of being toxic at all from which a document is rejected."""
 
     keys: np.ndarray
     weights: np.ndarray
     cuts: np.ndarray
+    reject: float = 0.5
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """w.x of each text; a text without words has 0."""
@@ -117,15 +121,34 @@ def fit_cumulative(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, gr
     return params[:n_features], np.cumsum(np.concatenate((params[n_features : n_features + 1], np.exp(params[n_features + 1 :]))))
 
 
+def rejection(probability: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability from which rejecting errs least on held-out rows; of several the middle by log-odds, 0.5 without rows of both kinds."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    odds = np.log(np.clip(probability, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(probability, 1e-12, 1 - 1e-12))
+    order = np.argsort(odds, kind="stable")
+    odds, toxic = odds[order], toxic[order]
+    # rejecting from the k-th row on; a cut between equal rows can't be made
+    missed = np.concatenate(([0], np.cumsum(toxic)))
+    hurt = (~toxic).sum() - np.concatenate(([0], np.cumsum(~toxic)))
+    cost = missed + CLEAN_WEIGHT * hurt
+    able = np.concatenate(([True], odds[1:] > odds[:-1], [True]))
+    best = np.flatnonzero(able & (cost == cost[able].min()))
+    low = odds[best[0] - 1] if best[0] else odds[0] - 1
+    high = odds[best[-1]] if best[-1] < len(odds) else odds[-1] + 1
+    return float(1 / (1 + np.exp(-(low + high) / 2)))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """The model of at most ``rows`` labelled documents (label 0 or 1; others, nulls and ids without a text are left out).
 
-    Without a toxic or a clean row the model has no features and calls nothing toxic (or, without clean rows, as likely as not).
+    Penalty and probability of rejection are chosen on rows that are held out of the fitting; then the weights are fitted on all of
+    them.  Without a toxic or a clean row the model has no features and calls nothing toxic (or, without clean rows, as likely as not).
     """
-    known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("grade")).where("doc_id is not null and grade in (0, 1)")
+    known = picked(labels, doc_id=id_column, grade=label_column).select(F.col("doc_id").cast("long"), F.col("grade").cast("int")).where("doc_id is not null and grade in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("text is not null")
+    texts = picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long")).where("text is not null")
     chosen = materialised(chosen, "labelled")
     # at most TRAIN_ROWS rows of two numbers
     sample = materialised(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text"), "sample")
@@ -174,20 +197,31 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     value = np.concatenate([*fitted["values"], np.zeros(0, dtype=np.float32)]).astype(np.float64)
     density = np.bincount(row, value * marked[column], minlength=len(fitted))
     grades[(grades == 1) & (density > np.median(density[grades == 1]))] = 2
-    weights, cuts = fit_cumulative(row, column, value, grades, len(keys), GRADES)
-    return Model(keys, weights, cuts)
+    held = (bh.mix(fitted["doc_id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(HELD_OUT)) == 0
+    toxic = grades > 0
+    if not (toxic & held).any() or not (toxic & ~held).any():
+        weights, cuts = fit_cumulative(row, column, value, grades, len(keys), GRADES, PENALTIES[1])
+        return Model(keys, weights, cuts)
+    taught, number, best = ~held[row], np.cumsum(~held) - 1, None
+    for penalty in PENALTIES:
+        weights, cuts = fit_cumulative(number[row[taught]], column[taught], value[taught], grades[~held], len(keys), GRADES, penalty)
+        p = np.clip(Model(keys, weights, cuts).probabilities(np.bincount(row, weights[column] * value, minlength=len(fitted))[held])[:, 0], 1e-9, 1 - 1e-9)
+        loss = -np.mean(np.where(toxic[held], np.log(p), np.log1p(-p)))
+        if best is None or loss < best[0]:
+            best = loss, penalty, rejection(p, toxic[held])
+    weights, cuts = fit_cumulative(row, column, value, grades, len(keys), GRADES, best[1])
+    return Model(keys, weights, cuts, best[2])
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (the expected grade, 0 to 2), ``toxic_probability`` (of grade 1 or 2) and ``severity_grade`` (the likeliest).
 
     Null and empty texts are scored as texts without features.  All rows and columns
-    stay, but ones named like the new ones are replaced.
+    stay, but ones named like the new ones, in capitals or not, are replaced.
     """
     new = {"severity": "double", "toxic_probability": "double", "severity_grade": "int"}
-    docs = docs.select([c for c in docs.columns if c not in new])
-    at = docs.columns.index(text_column)
-    out = docs.withColumns({c: F.lit(None).cast(t) for c, t in new.items()})
+    docs = without(docs, *new)
+    at = index_of(docs, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in units.slices(batches, at):
@@ -196,4 +230,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
             grade = np.argmax(edge[:, :-1] - edge[:, 1:], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(grade)], names=[*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, out.schema)
+            del batch
+            give_back()
+
+    return docs.mapInArrow(run, widened(docs, **new))

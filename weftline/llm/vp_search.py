@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import vectors
-from weftline.llm.shared import materialised
+from weftline.llm.shared import give_back, materialised, picked
 
 K = 10
 #: Relaxation of the pruning; one is exact.
 FACTOR = 1.0
 #: Vectors in a shard on average, and queries in a block.
-SHARD, QUERIES = 8192, 1024
+SHARD, QUERIES = 8192, 8192
 #: Vectors in a leaf, which are all compared.
 LEAF = 128
 
@@ -128,12 +128,13 @@ def _task(k: int, factor: float):
 
     def run(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, asked = shard["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         tree = Tree(vectors.from_binary(shard["v"]))
         found, _ = search(tree, ids, vectors.from_binary(queries["v"]), asked, k, factor)
         real = np.isfinite(found.far)
-        return pd.DataFrame({"query_id": np.repeat(asked, real.sum(axis=1)), "vec_id": found.ids[real], "score": found.far[real]})
+        size = real.sum(axis=1)
+        return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), size), "query_id": np.repeat(asked, size), "vec_id": found.ids[real], "score": found.far[real]})
 
     return run
 
@@ -152,22 +153,21 @@ def nearest(
     nearest first, ties to the smaller id.  With fewer candidates there are fewer
     rows.  Vectors that are null, empty, zero or hold null or non-finite components,
     and rows without an id, take no part; rows that share an id are candidates one by
-    one.  A query's id that repeats is asked once, by one of its vectors.  Vectors of
-    different lengths raise ValueError.  Other columns are ignored.
+    one.  Of queries that share an id each is asked, and has rows of its own.  Vectors
+    of different lengths raise ValueError.  Other columns are ignored.
     """
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+        df = picked(df, vec_id=id_column, v=vector_column).select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>"))
         return df.where("vec_id is not null").where(vectors.usable("v"))
 
-    rows = clean(table)
-    asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
-    rows, asked = materialised(_packed(rows, "vec_id"), "vectors"), materialised(_packed(asked, "query_id"), "queries")
+    rows, asked = materialised(_packed(clean(table), "vec_id"), "vectors"), _packed(clean(queries).withColumnRenamed("vec_id", "query_id"), "query_id")
+    asked = materialised(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
     shards, blocks = max(1, math.ceil(rows.count() / SHARD)), max(1, math.ceil(asked.count() / QUERIES))
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asking = asked.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    near = asking.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_task(k, factor), "query_id long, vec_id long, score double")
+    asking = asked.select("query", "query_id", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    near = asking.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_task(k, factor), "query long, query_id long, vec_id long, score double")
     # Spark keeps k rows of each query in a task before it shuffles them
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return near.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -181,6 +181,8 @@ def _packed(df: DataFrame, key: str) -> DataFrame:
             x = vectors.matrix(batch.column(1)).astype("<f8")
             raw, size = x.tobytes(), x.shape[1] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[i * size : (i + 1) * size] for i in range(len(x))], pa.binary())], names=[key, "v"])
+            del batch
+            give_back()
 
     return df.select(key, "v").mapInArrow(run, f"{key} long, v binary")
 
@@ -188,10 +190,10 @@ def _packed(df: DataFrame, key: str) -> DataFrame:
 #: The same by comparing every query with all rows.
 ORACLE = f"""
 WITH g AS (
-    SELECT vec_id, e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT vec_id, row, e FROM (SELECT vec_id, row_number() OVER () AS row, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
     WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), d AS (
-    SELECT q.vec_id AS query_id, g.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, g.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM g q JOIN g ON q.vec_id <> g.vec_id WHERE q.vec_id % 100 = 0
+    SELECT q.row, q.vec_id AS query_id, g.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, g.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM g q JOIN g ON q.vec_id <> g.vec_id WHERE q.vec_id % 100 = 0
 )
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM d) WHERE r <= {K}
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS r FROM d) WHERE r <= {K}
 """
