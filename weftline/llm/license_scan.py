@@ -215,8 +215,10 @@ def _low(column: Column | str) -> Column:
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """The model, with the lines of at most SAMPLE_DOCS documents as what isn't a licence."""
-    texts = picked(docs, doc_id=id_column, text=text_column).where("text is not null")
-    some = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(SAMPLE_DOCS)
+    texts = picked(docs, doc_id=id_column, text=text_column).where("doc_id is not null and text is not null").withColumn("digest", F.xxhash64("text"))
+    # first the rows by their hashes, then their texts: tasks send the driver no other text
+    chosen = texts.select("doc_id", "digest").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(SAMPLE_DOCS)
+    some = texts.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     return fit(sorted(line for r in some.select("text").collect() for line in r["text"].split("\n")))
 
 
