@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import vectors
 from weftline.llm.components import connected_components
-from weftline.llm.shared import discard, give_back, hot_join, materialised, picked, semi
+from weftline.llm.shared import discard, give_back, hot_join, map_batches, materialised, picked, semi
 
 COSINE = 0.9
 #: Chance that a pair at the threshold meets in no table.
@@ -160,7 +160,7 @@ def near_duplicate_vectors(
     classes = materialised(tagged.groupBy("print").agg(F.min("row").alias("id"), F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
     bits, tables = tables_for(classes.count(), cosine, miss)
     first = classes.select("id", "copies").join(tagged.select(F.col("row").alias("id"), "v"), "id")
-    hashed = materialised(first.select("id", "v", "copies").mapInArrow(_hashes(bits, tables, seed), "id long, v binary, keys array<int>, copies long"), "hashed")
+    hashed = materialised(map_batches(first.select("id", "v", "copies"), _hashes(bits, tables, seed), "id long, v binary, keys array<int>, copies long"), "hashed")
     key = hashed.select("id", F.posexplode("keys").alias("table", "key"))
     size = key.groupBy("table", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     size = size.select(F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("key").cast("long")).alias("bucket"), "blocks", "n")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm.components import connected_components
-from weftline.llm.shared import BROADCAST_IDS, discard, give_back, hot_join, materialised, picked, salted_join, semi
+from weftline.llm.shared import BROADCAST_IDS, discard, give_back, hot_join, map_batches, materialised, picked, salted_join, semi
 
 #: Similarity from which two documents are linked, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
@@ -197,7 +197,7 @@ def _linked(pairs: DataFrame, own: DataFrame, texts: DataFrame, words: int, nume
     right = few.select(F.col("id").alias("b"), F.col("print").alias("print_b"), F.col("text").alias("text_b"))
     both = salted_join(pairs, left, "a", "b", total)
     both = salted_join(both, right, "b", "a", total).select("a", "b", "print_a", "text_a", "print_b", "text_b")
-    return both.mapInArrow(_verify(words, numerator, denominator), "a long, b long").distinct()
+    return map_batches(both, _verify(words, numerator, denominator), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -222,7 +222,7 @@ def near_duplicates(
     ``docs`` are ignored.
     """
     texts = picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
-    made = texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, print binary, sketch array<long>, parity array<long>, bands array<long>")
+    made = map_batches(texts, _signatures(words), "doc_id long, n_shingles long, print binary, sketch array<long>, parity array<long>, bands array<long>")
     made = materialised(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
     total = made.count()
     nodes = made.where("doc_id is not null and print is not null")

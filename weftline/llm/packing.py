@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe, units
-from weftline.llm.shared import give_back, picked
+from weftline.llm.shared import give_back, map_batches, picked
 
 TOKENS = 1024
 SEGMENTS = 128
@@ -213,8 +213,9 @@ def pack_documents(
                 own[-1] = END
                 packer.add(Item(names[k], 0, own, len(own), loss[k] if loss else len(own) - 1))
             yield packer.pieces()
+            give_back()
         packer.finish()
         yield packer.pieces()
         give_back()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return map_batches(rows, run, SCHEMA)

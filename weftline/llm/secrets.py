@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import units
-from weftline.llm.shared import give_back, index_of, widened, without
+from weftline.llm.shared import give_back, index_of, map_batches, widened, without
 
 #: The kinds in the order in which spans of one start are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "literal")
@@ -209,7 +209,7 @@ def find_secrets(docs: DataFrame, text_column: str = "text", spans_column: str =
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         give_back()
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def digest(kinds: tuple[str, ...] = KINDS, spans_column: str = "spans"):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm import units
-from weftline.llm.shared import give_back, index_of, picked, widened, without
+from weftline.llm.shared import give_back, index_of, map_batches, picked, widened, without
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, text_column: str = "text", ids_column: str = "ids",
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_column])
         give_back()
 
-    return docs.mapInArrow(run, widened(docs, **{ids_column: "array<int>"}))
+    return map_batches(docs, run, widened(docs, **{ids_column: "array<int>"}))
 
 
 def decode(docs: DataFrame, ids_column: str = "ids", text_column: str = "decoded", model: str | None = None) -> DataFrame:
@@ -325,7 +325,7 @@ def decode(docs: DataFrame, ids_column: str = "ids", text_column: str = "decoded
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
         give_back()
 
-    return docs.mapInArrow(run, widened(docs, **{text_column: "string"}))
+    return map_batches(docs, run, widened(docs, **{text_column: "string"}))
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None) -> DataFrame:
@@ -345,4 +345,5 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before)), pa.array(crc, pa.int64()), same], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
         give_back()
 
-    return picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    rows = picked(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_batches(rows, run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

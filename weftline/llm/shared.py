@@ -7,9 +7,10 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -18,6 +19,9 @@ BROADCAST_IDS = 1 << 20
 #: Rows of a key from which it counts as hot, and the most keys that may: among more rows a hot key needs more of them.
 HOT_ROWS, HOT_KEYS = 512, 1 << 18
 
+#: Rows in an Arrow batch for Python workers, where the session doesn't set it: JVM and worker hold a whole batch each, in each task.
+BATCH_ROWS, BATCH_SETTING = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own: dict[str, str] = {}
 
 
@@ -53,6 +57,14 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow``, in batches of BATCH_ROWS rows unless the session says otherwise; the setting stays for the session."""
+    spark = df.sparkSession
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """``df``'s rows with (left_anti: without) a key in the written table ``ids``; broadcast only if its count is within BROADCAST_IDS."""
     if ids.count() <= BROADCAST_IDS:
@@ -118,10 +130,6 @@ def widened(df: DataFrame, **new: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(f.name, f.dataType) for f in made.fields]])
 
 
-def text_of(column: Column | str) -> Column:
-    return F.coalesce(column, F.lit(""))
-
-
 def give_back() -> None:
     """Returns freed memory to the system: a reused worker otherwise keeps its peak."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytehash as bh
 from weftline.llm import units
-from weftline.llm.shared import give_back, index_of, materialised, picked, widened, without
+from weftline.llm.shared import give_back, index_of, map_batches, materialised, picked, widened, without
 
 #: Labelled rows that the model is fitted on, the first by hash of their id; all are used if there are fewer.
 TRAIN_ROWS = 8192
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     if not n_toxic or n_toxic == n:
         none = np.zeros(0)
         return Model(none.astype(np.uint64), none, np.array([30.0, 31.0]) if not n_toxic else np.array([0.0, 30.0]))
-    counts = sample.select("doc_id", "grade", "text").mapInArrow(count, "key long, toxic long, docs long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")).where(F.col("docs") >= min(LEAST_DOCS, n_toxic))
+    counts = map_batches(sample.select("doc_id", "grade", "text"), count, "key long, toxic long, docs long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")).where(F.col("docs") >= min(LEAST_DOCS, n_toxic))
     expected = F.col("docs") * (n_toxic / n)
     strength = (F.col("toxic") - expected) * F.abs(F.col("toxic") - expected) / expected
     best = counts.withColumn("strength", strength).orderBy(F.abs("strength").desc(), "key").limit(FEATURES).select("key", "toxic", "docs").toPandas()
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 names=["doc_id", "grade", "columns", "values"],
             )
 
-    fitted = sample.mapInArrow(known_features, "doc_id long, grade int, columns array<int>, values array<float>").toPandas().sort_values("doc_id")
+    fitted = map_batches(sample, known_features, "doc_id long, grade int, columns array<int>, values array<float>").toPandas().sort_values("doc_id")
     grades = fitted["grade"].to_numpy().astype(np.int64)
     size = fitted["columns"].map(len).to_numpy()
     row = np.repeat(np.arange(len(fitted)), size)
@@ -233,4 +233,4 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
             del batch
             give_back()
 
-    return docs.mapInArrow(run, widened(docs, **new))
+    return map_batches(docs, run, widened(docs, **new))

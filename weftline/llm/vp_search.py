@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import vectors
-from weftline.llm.shared import give_back, materialised, picked
+from weftline.llm.shared import give_back, map_batches, materialised, picked
 
 K = 10
 #: Relaxation of the pruning; one is exact.
@@ -184,7 +184,7 @@ def _packed(df: DataFrame, key: str) -> DataFrame:
             del batch
             give_back()
 
-    return df.select(key, "v").mapInArrow(run, f"{key} long, v binary")
+    return map_batches(df.select(key, "v"), run, f"{key} long, v binary")
 
 
 #: The same by comparing every query with all rows.
