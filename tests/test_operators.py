@@ -53,7 +53,11 @@ def test_dates_ids_and_json(spark):
 def test_sounds_variants_and_patterns(spark):
     assert column(spark, text.sound_keys, ["Jan van Rijswijck", "de"]) == [["jan", "risfik"], []]
     made = spark.range(1).select(text.variants(F.lit("Jan"), F.lit("van"), F.lit("Dijck")).alias("v")).first().v
-    assert {r.label for r in made} == {"drop_first", "drop_first_and_particle", "initial_surname", "drop_particle", "old_spelling", "old_bare_surname"}
+    assert {r.label for r in made} == {"drop_voornaam", "drop_voornaam_and_tv", "initial_surname", "drop_tv", "historical_spelling", "historical_bare_surname"}
+    assert [r.query for r in made if r.label in ("initial_surname", "historical_bare_surname")] == [spark.range(1).select(text.normalize_name(F.lit(q)).alias("q")).first().q for q in ("J. Dijck", "Dyk")]
+    halves = [spark.range(1).select(text.variants(F.lit(None).cast("string"), F.lit("de"), F.lit(g)).alias("v")).first().v for g in ("Witt-Bicker", "Witt Bicker", "Witt bicker", None)]
+    assert [[r.query for r in v if r.label == "split_compound"] for v in halves] == [["de witt"], ["de witt"], [], []]
+    assert [(r.label, r.query) for r in halves[3]] == [("drop_voornaam", "de")]
     pattern = spark.range(1).select(text.name_regex(F.lit("Dijck jr.")).alias("p")).first().p
     assert re.search(pattern.removeprefix("(?i)"), "van dyck  jr", re.IGNORECASE) is None
     assert re.search(pattern.removeprefix("(?i)").removesuffix(r"\b"), "van Dyck  ir.", re.IGNORECASE)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,6 +85,14 @@ def kwic(tokens: DataFrame, group: Sequence[str], pos: str, token: str, keyword:
     return tokens.withColumn("left_context", left).withColumn("right_context", right).where(keyword).select(*group, pos, F.col(token).alias("keyword"), "left_context", "right_context")
 
 
+def kwic_texts(rows: DataFrame, key: str, text: str, keyword: Callable[[Column], Column], window: int = 5) -> DataFrame:
+    """key, pos, keyword, left_context, right_context of each word of a text for which ``keyword`` holds: texts are taken apart in place, and only the hits spread out."""
+    words = rows.select(key, F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+").alias("_w"))
+    hits = words.withColumn("pos", F.explode(F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: keyword(F.get("_w", i)))))
+    left, right = F.slice("_w", F.greatest(F.col("pos") - window, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(window))), F.slice("_w", F.col("pos") + 2, F.lit(window))
+    return hits.select(key, "pos", F.get("_w", F.col("pos")).alias("keyword"), F.array_join(left, " ").alias("left_context"), F.array_join(right, " ").alias("right_context"))
+
+
 def context_search(contexts: DataFrame, needle: str) -> DataFrame:
     """Keyword rows in whose left or right context a text occurs."""
     n = needle.lower()
@@ -115,7 +123,7 @@ def scan_rules(rows: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
                         if a == b or any(s <= a and b <= e for s, e in taken):
                             continue
                         taken.append((a, b))
-                        out.append((k, name, a, b, m[0], " ".join(t[max(0, a - 400) : a].split()[-window:]), " ".join(t[b : b + 400].split()[:window])))
+                        out.append((k, name, a, b, m[0], " ".join(t[:a].rsplit(None, window)[-window:] if a else []), " ".join(t[b:].split(None, window)[:window])))
             yield pd.DataFrame(out, columns=columns)
 
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, rule string, start long, end long, surface string, left_context string, right_context string")

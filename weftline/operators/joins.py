@@ -11,6 +11,8 @@ from weftline.functions.text import normalize_text
 
 #: Shorter needles aren't sought within texts, shorter words not as words.
 LEAST_SUBSTRING, LEAST_WORD = 3, 4
+#: Characters of a fingerprint of one or two words by which candidates are found.
+LEAST_GRAM = 12
 
 
 def one_to_one(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
@@ -27,13 +29,20 @@ def one_to_one(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner"
 def date_band_join(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, on: Sequence[str] = (), hook_date: str | None = None) -> DataFrame:
     """Pairs whose dates differ by ``days`` at most, with date_diff_days, and with ``hook_date`` the nearer of the two dates and date_match_source.
 
-    The smaller offsets of the right side are spelt out, so that the join is one on
-    equal days; a band of 2 x days + 1 rows for each right row, never a cross join.
+    Days are dealt out in cells of 2 x days + 1: a left row is in the cell of its day, a
+    right row in the one or two that its band touches (for either date), so that the
+    join is one on equal cells, and on the columns ``on``.
     """
-    dates = [right_date, *([hook_date] if hook_date else [])]
-    around = F.explode(F.array_distinct(F.flatten(F.transform(F.array(*[F.col(d) for d in dates]), lambda d: F.when(d.isNotNull(), F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add(d, k))).otherwise(F.array().cast("array<date>"))))))
-    spread = right.withColumn("_day", around)
-    pairs = left.withColumn("_day", F.col(left_date)).join(spread, ["_day", *on]).drop("_day")
+    width, epoch = 2 * days + 1, F.lit("1970-01-01").cast("date")
+
+    def cell(day: Column, shift: int) -> Column:
+        return F.floor((F.datediff(day, epoch) + shift) / width)
+
+    dates = [F.col(d) for d in (right_date, *([hook_date] if hook_date else []))]
+    cells = F.array_compact(F.array_distinct(F.array(*[cell(d, shift) for d in dates for shift in (-days, days)])))
+    pairs = left.withColumn("_cell", cell(F.col(left_date), 0)).join(right.withColumn("_cell", F.explode(cells)), ["_cell", *on]).drop("_cell")
+    gap = F.least(*[F.coalesce(F.abs(F.datediff(F.col(left_date), d)), F.lit(1 << 30)) for d in dates], F.lit(1 << 30))
+    pairs = pairs.where(gap <= days)
     near = F.abs(F.datediff(left_date, right_date))
     if not hook_date:
         return pairs.withColumn("date_diff_days", near)
@@ -134,18 +143,35 @@ def fingerprint_matches(flat: DataFrame, raw: DataFrame, block: str, flat_id: st
     """flat_id with its raw_id, or null, and status: matched, ambiguous, missing or too_short.
 
     The first ``size`` characters of the normalised text are sought anywhere in the
-    normalised raw texts of the block; so that no block is crossed with itself, raw
-    texts are joined by the fingerprint's first three words where they occur.
+    normalised raw texts of the block.  A print's ends may stand within words of the
+    raw text, so candidates share an inner part of it: three inner words, or one of a
+    print of three or four words, or the first LEAST_GRAM characters of a print of
+    fewer words.  Only hashes of these and ids are spread out; a raw text is fetched
+    once for each candidate pair.
     """
     prints = flat.select(F.col(block).alias("_block"), F.col(flat_id).alias(flat_id), F.substring(normalize_text(flat_text), 1, size).alias("_print"))
-    words = F.split("_print", " ")
-    # a cut print may end, and a raw text may begin, within a word: only whole inner words are keys
-    keyed = prints.withColumn("_key", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")).otherwise(F.lit("")))
+    own = F.split("_print", " ")
+    kind = F.when(F.size(own) >= 5, 3).when(F.size(own) >= 3, 1).otherwise(0)
+    gram = min(LEAST_GRAM, least)
+    key = F.when(kind == 3, F.xxhash64(F.get(own, 1), F.get(own, 2), F.get(own, 3))).when(kind == 1, F.xxhash64(F.get(own, 1))).otherwise(F.xxhash64(F.substring("_print", 1, gram)))
+    keyed = prints.where(F.length("_print") >= least).select("_block", flat_id, "_print", kind.alias("_kind"), key.alias("_key"))
     hay = raw.select(F.col(block).alias("_block"), F.col(raw_id).alias(raw_id), normalize_text(raw_text).alias("_hay"))
-    parts = F.split("_hay", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.lit(3)), " "))
-    spread = hay.withColumn("_key", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))))
-    found = keyed.where(F.length("_print") >= least).join(spread, ["_block", "_key"]).where(F.col("_hay").contains(F.col("_print")))
+    # taken apart once, below what spreads it out
+    cut, words = hay.withColumn("_words", F.split("_hay", " ")), F.col("_words")
+    to = lambda n: F.greatest(n, F.lit(0))
+    grams = {
+        3: F.transform(F.slice(F.sequence(F.lit(0), F.size(words)), F.lit(1), to(F.size(words) - 2)), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
+        1: F.transform(words, lambda w: F.xxhash64(w)),
+        0: F.transform(F.slice(F.sequence(F.lit(1), F.length("_hay") + 1), F.lit(1), to(F.length("_hay") - gram + 1)), lambda i: F.xxhash64(F.substring(F.col("_hay"), i, F.lit(gram)))),
+    }
+    pairs = None
+    for k, keys in grams.items():
+        asked = keyed.where(F.col("_kind") == k).select("_block", "_key", flat_id)
+        # raw texts of blocks without prints of this kind are not taken apart
+        spread = cut.join(asked.select("_block").distinct(), "_block", "left_semi").select("_block", raw_id, F.explode(F.array_distinct(keys)).alias("_key"))
+        part = spread.join(asked, ["_block", "_key"]).select("_block", flat_id, raw_id)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    found = pairs.distinct().join(keyed.select("_block", flat_id, "_print"), ["_block", flat_id]).join(hay, ["_block", raw_id]).where(F.col("_hay").contains(F.col("_print")))
     counted = found.groupBy("_block", flat_id).agg(F.count_distinct(raw_id).alias("_n"), F.min(raw_id).alias("_raw"))
     out = prints.join(counted, ["_block", flat_id], "left")
     status = F.when(F.length("_print") < least, "too_short").when(F.col("_n") == 1, "matched").when(F.col("_n") > 1, "ambiguous").otherwise("missing")

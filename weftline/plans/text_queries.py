@@ -114,8 +114,7 @@ c AS (SELECT doc_id, pos, token,
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, token AS keyword, left_context, right_context FROM c WHERE regexp_matches(lower(token), '^licen')
 """)
 def kwic_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")).alias("pos", "token"))
-    return classify.kwic(t, ["doc_id"], "pos", "token", F.lower("token").rlike("^licen"))
+    return classify.kwic_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda w: F.lower(w).rlike("^licen"))
 
 
 @query()
@@ -156,7 +155,15 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, "phrase")
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS g FROM part),
+o AS (SELECT *, replace(replace(replace(replace(replace(replace(g, 'ij', 'y'), 'ck', 'k'), 'ae', 'a'), 'oe', 'u'), 'th', 't'), 'ou', 'u') AS old FROM p),
+v AS (SELECT p_partkey, unnest([
+        {'label': 'drop_voornaam', 'band': 'near_canonical', 'q': 'van ' || g}, {'label': 'drop_voornaam_and_tv', 'band': 'moderate', 'q': g},
+        {'label': 'initial_surname', 'band': 'moderate', 'q': f[1] || '. ' || g}, {'label': 'drop_tv', 'band': 'moderate', 'q': f || ' ' || g},
+        {'label': 'historical_spelling', 'band': 'distant', 'q': 'van ' || old}, {'label': 'historical_bare_surname', 'band': 'outlier', 'q': old}], recursive := true) FROM o)
+SELECT p_partkey, label, band, """ + _spell_sql("q") + """ AS query FROM v
+""")
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("p_name", " ")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(text.variants(F.element_at(parts, 1), F.lit("van"), F.element_at(parts, 2))).alias("v"))
