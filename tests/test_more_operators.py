@@ -2,7 +2,10 @@
 
 import datetime as dt
 import io
+import itertools
 import json
+import math
+import random
 import tarfile
 import zipfile
 
@@ -129,7 +132,9 @@ def test_more_cuts(spark):
     assert [(r.k, r.cut) for r in align.interior_cuts(spans, ["g"], "s", "e", 1).collect()] == [(1, 17)]
     a = spark.createDataFrame([("g", 0, "x"), ("g", 1, "y"), ("g", 2, "z")], "g string, k int, m string")
     b = spark.createDataFrame([("g", 0, "y"), ("g", 1, "x"), ("g", 2, "z")], "g string, k int, m string")
-    assert sorted((r.i, r.j) for r in align.align_mentions(a, b, "g", "k", "m").collect()) in ([(0, 1), (2, 2)], [(1, 0), (2, 2)])
+    assert [(r.i, r.j, r.cost) for r in align.align_mentions(a, b, "g", "k", "m").orderBy("i").collect()] == [(0, 0, 2.0), (1, 1, 2.0), (2, 2, 2.0)]
+    none = align.align_mentions(a.where("k = 0"), b, "g", "k", "m").collect()
+    assert [(r.i, r.j, r.cost) for r in none] == [(None, None, math.inf)]
     items = spark.createDataFrame([("d", 0, 3), ("d", 1, 3), ("d", 2, 3), ("e", 0, 2)], "day string, k int, n int")
     predicted = spark.createDataFrame([("d", "predicted", 3, 10, [4, 6]), ("e", "predicted", 3, 9, [1, 2])], "day string, status string, k_e int, axis int, cuts array<int>")
     got = align.paragraph_ranges(items, predicted, "day", "k", "n").orderBy("day", "k").collect()
@@ -137,6 +142,67 @@ def test_more_cuts(spark):
     assert spark.range(1).select(align.typed_score(F.lit(2.0), F.lit(None).cast("double"), F.lit(10.0)).alias("s")).first().s == 4.0
 
 
+def test_mentions_leave_no_enriched_one_alone():
+    assert align.mention_alignment(["Holland", "Zeeland", "Utrecht"], ["Holland", "Utrecht"]) == ([(0, 0), (2, 1)], 1.0)
+    assert align.mention_alignment(["Holland", "Zeeland"], ["Holland", "Vriesland", "Zeeland"]) == ([], math.inf)
+    assert align.mention_alignment([], []) == ([], 0.0) and align.mention_alignment(["a"], []) == ([], math.inf)
+    rng = random.Random(3)
+    for _ in range(200):
+        flat, enriched = (rng.choices("abc", k=rng.randint(1, 6)) for _ in range(2))
+        ways = [c for c in itertools.combinations(range(len(flat)), len(enriched))]
+        pairs, cost = align.mention_alignment(flat, enriched)
+        costs = {c: len(flat) - len(enriched) + sum(flat[i] != y for i, y in zip(c, enriched, strict=True)) for c in ways}
+        best = min(costs.values(), default=math.inf)
+        assert cost == best and (not ways or tuple(i for i, _ in pairs) == max((c for c in ways if costs[c] == best), key=lambda c: c[::-1]))
+
+
+def brute_alignment(n, m, match, allowed, gap):
+    """The greatest score of any global alignment."""
+    best = -math.inf
+    for k in range(min(n, m) + 1):
+        for rows in itertools.combinations(range(n), k):
+            for columns in itertools.combinations(range(m), k):
+                if all(allowed[i][j] for i, j in zip(rows, columns, strict=True)):
+                    best = max(best, sum(match[i][j] for i, j in zip(rows, columns, strict=True)) - gap * (n + m - 2 * k))
+    return best
+
+
+def test_hints_steer_alignments(spark):
+    """Each hint against all alignments: pins rule out the rest of a row, the same date adds, distance costs, persons count beside others alone."""
+    rng = random.Random(11)
+    rows, sizes = [], []
+    for g in range(40):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        sizes.append((g, n, m, rng.choice([None, 0.0, 1.0])))
+        for i in range(n):
+            pin = rng.randrange(m) if rng.random() < 0.2 else None
+            for j in range(m):
+                rows.append((g, i, j, rng.choice([0.0, 0.0, 1.5]), rng.choice([0.0, 2.0]), rng.choice([0.0, 5.0]), pin == j, rng.random() < 0.2, rng.random() < 0.3))
+    cells = spark.createDataFrame(rows, "g int, i int, j int, places double, orgs double, persons double, pinned boolean, blocked boolean, same_date boolean")
+    got = align.nw_align(cells, spark.createDataFrame(sizes, "g int, n int, m int, expected double"), "g").collect()
+    for g, n, m, expected in sizes:
+        match, allowed = [[0.0] * m for _ in range(n)], [[False] * m for _ in range(n)]
+        for _, i, j, places, orgs, persons, pinned, blocked, same in (r for r in rows if r[0] == g):
+            solid = places + orgs
+            held = any(r[6] for r in rows if r[0] == g and r[1] == i)
+            allowed[i][j] = pinned if held else solid > 0 and not blocked
+            match[i][j] = solid + (0.2 * persons if solid > 0 else 0.0) + 50 * pinned + 2 * same - (0.35 * abs(j - expected - i) if expected is not None else 0.0)
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.step)
+        assert all(allowed[r.i][r.j] for r in own if r.i is not None and r.j is not None)
+        score = sum(match[r.i][r.j] if r.i is not None and r.j is not None else -0.1 for r in own)
+        assert score == pytest.approx(brute_alignment(n, m, match, allowed, 0.1))
+
+
+def test_segments_between_anchors(spark):
+    cells = spark.createDataFrame([("d", i, j, 3.0 if j == 2 * i else 0.5) for i in range(6) for j in range(11)], "g string, i int, j int, overlap double")
+    segments = spark.createDataFrame([("d", 1, 4, 2, 8), ("d", 5, 5, 10, 10), ("d", 2, 3, 5, 5)], "g string, i0 int, i1 int, j0 int, j1 int")
+    assert sorted((r.i, r.j) for r in align.segment_align(cells, segments, "g").collect()) == [(1, 2), (2, 4), (3, 6), (4, 8), (5, 10)]
+    anchors = spark.createDataFrame([("d", "first", 0, 0), ("d", "middle", 3, 6), ("d", "last", 5, 10), ("e", "first", 0, 0)], "g string, role string, i int, j int")
+    pins = spark.createDataFrame([("d", 4, 7), ("e", 1, 1)], "g string, i int, j int")
+    got = sorted((r.g, r.i, r.j) for r in align.align_by_tri_anchors(cells, anchors, "g", pins).collect())
+    assert got == [("d", 0, 0), ("d", 1, 2), ("d", 2, 4), ("d", 3, 6), ("d", 4, 7), ("d", 5, 10), ("e", 1, 1)]
+
+
 def test_more_evaluation(spark):
     gold = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "k string, v boolean")
     back = evaluate.pair_backtest(gold, spark.createDataFrame([("a",), ("b",), ("z",)], "k string"), ["k"], "v").first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -48,31 +49,53 @@ def needleman_wunsch(match: np.ndarray, allowed: np.ndarray, gap: float = GAP, s
     return out[::-1]
 
 
+def _weighed(own: pd.DataFrame, n: int, m: int, semantic_weight: float, least_similarity: float, expected: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of n rows and m columns what matching each pair scores, and whether it may be matched, from the ``cells`` of one group."""
+    own = own[(own["i"] < n) & (own["j"] < m)]
+    at = (own["i"].to_numpy().astype(int), own["j"].to_numpy().astype(int))
+
+    def spread(values: pd.Series, kind: type) -> np.ndarray:
+        out = np.zeros((n, m), dtype=kind)
+        out[at] = values.to_numpy()
+        return out
+
+    solid = spread(own["overlap"] + own["places"] + own["orgs"], float)
+    similar = spread(own["similarity"], float)
+    overlap = solid + np.where(solid > 0, PERSON * spread(own["persons"], float), 0.0)
+    pinned = spread(own["pinned"], bool)
+    fits = (overlap > 0) | ((similar >= least_similarity) & (semantic_weight > 0))
+    # a pinned row has its pin or nothing, whatever else it overlaps with
+    held = pinned.any(axis=1, keepdims=True)
+    allowed = np.where(held, pinned, fits & ~spread(own["blocked"], bool))
+    aside = np.abs(spread(own["offset_gap"], float))
+    if expected is not None:
+        aside = aside + np.abs(np.arange(m)[None, :] - expected - np.arange(n)[:, None])
+    match = overlap + semantic_weight * similar + PIN * pinned - OFFSET * aside + SAME_DATE * spread(own["same_date"], bool)
+    return match, allowed
+
+
 def nw_align(cells: DataFrame, sizes: DataFrame, group: str, semantic_weight: float = 0.0, gap: float = GAP, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """group, step, i, j of each group's global alignment (null: skipped).
 
-    ``cells`` has group, i, j, overlap and optionally similarity, pinned, blocked and
-    offset_gap of the pairs that have any; ``sizes`` has group, n, m.  A pair may be
-    matched if it overlaps or is similar enough, and isn't blocked; a pin adds PIN and
-    the distance from the expected offset costs OFFSET each.  One kernel call holds one
-    group's table.
+    ``cells`` has group, i, j of the pairs that have any of: overlap, or by type places,
+    orgs and persons (these scaled, and only beside one of the others); similarity,
+    which counts with ``semantic_weight``; same_date, which adds SAME_DATE; pinned,
+    which adds PIN and rules out all else in its row; blocked; offset_gap, the distance
+    from the expected place, which costs OFFSET each.  ``sizes`` has group, n, m and
+    optionally expected, the j of row 0, from which every pair's distance is counted.
+    A pair may be matched if it overlaps or is similar enough, and isn't blocked.  One
+    kernel call holds one group's table.
     """
-    cells = cells.withColumns({c: F.lit(v) for c, v in (("similarity", 0.0), ("pinned", False), ("blocked", False), ("offset_gap", 0.0)) if c not in cells.columns})
+    given = dict(similarity=0.0, overlap=0.0, places=0.0, orgs=0.0, persons=0.0, pinned=False, blocked=False, same_date=False, offset_gap=0.0)
+    cells = cells.select(group, "i", "j", *[F.coalesce(F.col(c), F.lit(v)).alias(c) if c in cells.columns else F.lit(v).alias(c) for c, v in given.items()])
+    if "expected" not in sizes.columns:
+        sizes = sizes.withColumn("expected", F.lit(None).cast("double"))
 
     def run(key: tuple, size: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
             return pd.DataFrame({group: [], "step": [], "i": [], "j": []})
-        n, m = int(size["n"].iloc[0]), int(size["m"].iloc[0])
-        match, allowed = np.zeros((n, m)), np.zeros((n, m), dtype=bool)
-        own = own[(own["i"] < n) & (own["j"] < m)]
-        at = (own["i"].to_numpy(), own["j"].to_numpy())
-        total = own["overlap"] + semantic_weight * own["similarity"] + PIN * own["pinned"] - OFFSET * own["offset_gap"].abs()
-        match[at] = total.to_numpy()
-        may = (own["overlap"] > 0) | own["pinned"]
-        if semantic_weight > 0:
-            may |= own["similarity"] >= least_similarity
-        allowed[at] = (may & ~own["blocked"]).to_numpy()
-        pairs = needleman_wunsch(match, allowed, gap)
+        n, m, expected = int(size["n"].iloc[0]), int(size["m"].iloc[0]), size["expected"].iloc[0]
+        pairs = needleman_wunsch(*_weighed(own, n, m, semantic_weight, least_similarity, None if pd.isna(expected) else float(expected)), gap)
         return pd.DataFrame(
             {group: [key[0]] * len(pairs), "step": range(len(pairs)), "i": pd.array([a for a, _ in pairs], dtype="Int64"), "j": pd.array([b for _, b in pairs], dtype="Int64")}
         )
@@ -81,6 +104,42 @@ def nw_align(cells: DataFrame, sizes: DataFrame, group: str, semantic_weight: fl
     return sizes.groupBy(group).cogroup(cells.groupBy(group)).applyInPandas(run, f"{group} {kind}, step long, i long, j long")
 
 
+def segment_align(cells: DataFrame, segments: DataFrame, group: str, gap: float = GAP) -> DataFrame:
+    """group, i, j: the pairs within segments whose first and whose last rows and columns are pinned to each other.
+
+    ``segments`` has group, i0, i1, j0, j1, ends included; one of a single row has the pair (i0, j0), one whose columns don't rise has none.
+    """
+    named = segments.withColumn("_segment", F.concat_ws("/", F.col(group).cast("string"), "i0", "i1", "j0", "j1")).dropDuplicates(["_segment"])
+    long = named.where("i1 > i0 and j1 > j0")
+    inside = cells.join(long, group).where(F.col("i").between(F.col("i0"), F.col("i1")) & F.col("j").between(F.col("j0"), F.col("j1")))
+    moved = inside.withColumns({"i": F.col("i") - F.col("i0"), "j": F.col("j") - F.col("j0")}).drop(group, "i0", "i1", "j0", "j1")
+    last = (F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0"))
+    zero = F.lit(0).cast("long")
+    ends = long.select("_segment", F.explode(F.array(F.struct(zero.alias("i"), zero.alias("j")), F.struct(last[0].cast("long").alias("i"), last[1].cast("long").alias("j")))).alias("e"))
+    pins = ends.select("_segment", "e.i", "e.j", F.lit(True).alias("_pin"))
+    moved = moved.join(pins, ["_segment", "i", "j"], "full_outer").withColumn("pinned", F.coalesce("_pin", F.lit(False))).drop("_pin")
+    found = nw_align(moved, long.select("_segment", (last[0] + 1).alias("n"), (last[1] + 1).alias("m")), "_segment", gap=gap).where("i is not null and j is not null")
+    found = found.join(long, "_segment").select(group, (F.col("i") + F.col("i0")).cast("long").alias("i"), (F.col("j") + F.col("j0")).cast("long").alias("j"))
+    return found.unionByName(named.where("i1 = i0").select(group, F.col("i0").cast("long").alias("i"), F.col("j0").cast("long").alias("j"))).distinct()
+
+
+def align_by_tri_anchors(cells: DataFrame, anchors: DataFrame, group: str, pins: DataFrame | None = None, gap: float = GAP) -> DataFrame:
+    """group, i, j: alignment from a group's first to its last anchor, by way of the middle one if there is one; ``pins`` (group, i, j) go before.
+
+    ``anchors`` is what ``tri_anchors`` gives; groups without a first and a last anchor have pins alone.
+    """
+    at = {role: F.first(F.when(F.col("role") == role, F.struct("i", "j")), ignorenulls=True) for role in ("first", "middle", "last")}
+    roles = anchors.groupBy(group).agg(*[x.alias(role) for role, x in at.items()]).where("first is not null and last is not null")
+    ends = F.array_compact(F.array("first", "middle", "last"))
+    stops = roles.select(group, ends.alias("e")).select(group, F.explode(F.zip_with(F.slice("e", F.lit(1), F.size("e") - 1), F.slice("e", F.lit(2), F.size("e") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("s"))
+    segments = stops.select(group, F.col("s.a.i").alias("i0"), F.col("s.b.i").alias("i1"), F.col("s.a.j").alias("j0"), F.col("s.b.j").alias("j1")).where("i1 > i0 and j1 > j0")
+    found = segment_align(cells, segments, group, gap)
+    if pins is None:
+        return found
+    pins = pins.select(group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    return found.join(pins.select(group, "i").distinct(), [group, "i"], "left_anti").unionByName(pins)
+
+
 def typed_score(places: Column, orgs: Column, persons: Column) -> Column:
     """Places and organisations in full, persons scaled; persons alone count only with one of the others."""
     solid = F.coalesce(places, F.lit(0.0)) + F.coalesce(orgs, F.lit(0.0))
@@ -264,36 +323,41 @@ def zip_align(items: DataFrame, slots: DataFrame, day: Sequence[str], item_order
     return pairs.withColumn("confidence", F.when(F.col("_a") == F.col("_b"), 0.9).otherwise(0.55)).drop("_a", "_b")
 
 
-def mention_alignment(left: Sequence[str], right: Sequence[str]) -> list[tuple[int, int]]:
-    """The most equal mentions that can be paired in order, every left one standing; of equal solutions the earliest right partners."""
-    n, m = len(left), len(right)
-    best = np.zeros((n + 1, m + 1), dtype=int)
+def mention_alignment(flat: Sequence[str], enriched: Sequence[str]) -> tuple[list[tuple[int, int]], float]:
+    """Pairs in order that leave no enriched mention alone, and their cost: 1 for each flat mention left out, 1 for each unequal pair.
+
+    Without so many flat mentions there are no pairs, and the cost is infinite, as it is
+    with flat mentions and no enriched one.  Of equal costs the pairs that come latest.
+    """
+    n, m = len(flat), len(enriched)
+    if m > n or (n and not m):
+        return [], math.inf
+    differ = np.array([[a != b for b in enriched] for a in flat], dtype=float).reshape(n, m)
+    cost = np.concatenate(([0.0], np.full(m, np.inf)))
+    paired = np.zeros((n, m), dtype=bool)
+    for i in range(n):
+        left_out, together = cost + 1, cost[:-1] + differ[i]
+        paired[i] = together <= left_out[1:]
+        cost = np.concatenate((left_out[:1], np.minimum(left_out[1:], together)))
+    out, j = [], m
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if left[i] == right[j] else max(best[i + 1, j], best[i, j + 1])
-    i = j = 0
-    out = []
-    while i < n and j < m:
-        if left[i] == right[j]:
+        if j and paired[i, j - 1]:
+            j -= 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    return out[::-1], float(cost[m])
 
 
-def align_mentions(left: DataFrame, right: DataFrame, group: str, pos: str, mention: str) -> DataFrame:
-    """group, i, j of each group's mention alignment."""
-    kind = dict(left.dtypes)[group]
+def align_mentions(flat: DataFrame, enriched: DataFrame, group: str, pos: str, mention: str) -> DataFrame:
+    """group, cost, i, j (places by ``pos``) of each group's mention alignment; a group without pairs has one row of nulls."""
+    kind = dict(flat.dtypes)[group]
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(pos), b.sort_values(pos)
-        pairs = mention_alignment(a[mention].tolist(), b[mention].tolist())
-        return pd.DataFrame({group: [key[0]] * len(pairs), "i": [int(a[pos].iloc[i]) for i, _ in pairs], "j": [int(b[pos].iloc[j]) for _, j in pairs]})
+        pairs, cost = mention_alignment(a[mention].tolist(), b[mention].tolist())
+        i, j = ([int(a[pos].iloc[i]) for i, _ in pairs], [int(b[pos].iloc[j]) for _, j in pairs]) if pairs else ([None], [None])
+        return pd.DataFrame({group: [key[0]] * len(i), "cost": [cost] * len(i), "i": pd.array(i, dtype="Int64"), "j": pd.array(j, dtype="Int64")})
 
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(run, f"{group} {kind}, i long, j long")
+    return flat.groupBy(group).cogroup(enriched.groupBy(group)).applyInPandas(run, f"{group} {kind}, cost double, i long, j long")
 
 
 def tri_anchors(cells: DataFrame, sizes: DataFrame, group: Sequence[str], least: float = ANCHOR) -> DataFrame:

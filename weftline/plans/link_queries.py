@@ -21,7 +21,10 @@ SELECT item_id, doc_id, score, n_shared, CAST(r AS INTEGER) AS rank FROM (SELECT
 def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDF-weighted word overlap: the three documents nearest to each benchmark item."""
     d, b = tokens(table(spark, sf_dir, "documents"), "doc_id"), tokens(table(spark, sf_dir, "benchmark"), "item_id")
-    scores = linking.overlap_scores(b, d, "item_id", "doc_id", "term", idf_weights(d, "term")).withColumn("score", F.round("score", 6))
+    # only terms that the benchmark has are dealt out; their weights count all rows
+    shared = d.join(b.select("term").distinct(), "term", "left_semi")
+    weights = shared.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.count("*").alias("all")))).select("term", F.ln(F.col("all") / F.col("n")).alias("idf"))
+    scores = linking.overlap_scores(b, shared, "item_id", "doc_id", "term", weights).withColumn("score", F.round("score", 6))
     return ranking.top_k(scores, ["item_id"], 3, "score", "doc_id")
 
 
@@ -197,6 +200,32 @@ def tri_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.tri_anchors(cells, sizes.select("conv_id", "n"), ["conv_id"], 12)
 
 
+@query()
+def tri_anchor_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns aligned from a conversation's first to its last anchor by way of the middle one, its opening turns pinned to each other."""
+    cells, sizes = _cells(spark, sf_dir)
+    anchors = align.tri_anchors(cells, sizes.select("conv_id", "n"), ["conv_id"], 12)
+    pins = sizes.where("n > 0 and m > 0").select("conv_id", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return align.align_by_tri_anchors(cells.withColumnRenamed("score", "overlap"), anchors, "conv_id", pins)
+
+
+@query("""
+WITH f AS (SELECT o_custkey % 1000 AS g, o_orderkey, o_orderpriority AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k, o_custkey FROM orders),
+flat AS (SELECT o_custkey, list(x ORDER BY k) AS xs FROM f WHERE k < 9 GROUP BY o_custkey), rich AS (SELECT o_custkey, list(x ORDER BY k) AS ys FROM f WHERE k < 9 AND k % 2 = 1 GROUP BY o_custkey),
+b AS (SELECT o_custkey, xs, ys, len(xs) AS n, len(ys) AS m, unnest(range(0, 1 << len(xs))) AS mask FROM flat JOIN rich USING (o_custkey)),
+t AS (SELECT *, list_filter(range(0, n), lambda i: (mask >> i) & 1 = 1) AS used FROM b WHERE bit_count(mask) = m),
+c AS (SELECT *, n - m + len(list_filter(range(1, m + 1), lambda j: xs[used[j] + 1] <> ys[j])) AS cost FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY cost, mask DESC) AS best FROM c)
+SELECT o_custkey, CAST(cost AS DOUBLE) AS cost, unnest(used) AS i, unnest(range(0, m)) AS j FROM r WHERE best = 1
+""")
+def mention_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priorities of a customer's first nine orders as flat mentions, every second one of them as enriched mentions: what deletion alone explains."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    flat = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("x"), (F.row_number().over(w) - 1).alias("k")).where("k < 9")
+    enriched = flat.where("k % 2 = 1").select("o_custkey", "x", ((F.col("k") - 1) / 2).cast("int").alias("k"))
+    return align.align_mentions(flat, enriched, "o_custkey", "k", "x").where("i is not null")
+
+
 @query()
 def chain_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten conversations as a chain of sessions, each expected to go on where the one before ended."""
