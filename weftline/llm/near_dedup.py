@@ -11,8 +11,10 @@
    contracted to components.
 3. Buckets that still hold several components are compared block by block, sketch
    against sketch; only pairs of different components that the sketches allow leave
-   the kernel, and are verified likewise.  So no pair of a bucket goes untested
-   unless its ends are connected already, and no group is expanded into its pairs.
+   the kernel, and are verified likewise.  First each member's nearest alone, which
+   connects most of a group of near copies; then all that is left.  So no pair of a
+   bucket goes untested unless its ends are connected already, and no group is
+   expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -139,8 +141,11 @@ def _verify(words: int, numerator: int, denominator: int):
     return run
 
 
-def _crossing(left: np.ndarray, right: np.ndarray, most: int, member: dict[str, np.ndarray], earlier: int, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pairs between two blocks that differ in component, agree in no ``earlier`` band, and may be linked by sizes, parities and sketches."""
+def _crossing(left: np.ndarray, right: np.ndarray, most: int, member: dict[str, np.ndarray], earlier: int, nearest: bool, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs between two blocks that differ in component, agree in no ``earlier`` band, and may be linked by sizes, parities and sketches.
+
+    With ``nearest`` of each left row only the pair whose parities differ least for its sizes.
+    """
     n, component = member["n"], member["component_id"]
     out_x, out_y = [], []
     for k in range(0, len(left), 64):
@@ -154,12 +159,19 @@ def _crossing(left: np.ndarray, right: np.ndarray, most: int, member: dict[str,
                 far += np.bitwise_count(member[bitmap][x, c] ^ member[bitmap][y, c])
             x, y = x[far <= limit], y[far <= limit]
         new = (member["bands"][x, :earlier] != member["bands"][y, :earlier]).all(axis=1)
-        out_x.append(x[new])
-        out_y.append(y[new])
+        x, y = x[new], y[new]
+        if nearest:
+            far = np.bitwise_count(member["parity"][x] ^ member["parity"][y]).sum(axis=1, dtype=np.int64) / (n[x] + n[y])
+            order = np.lexsort((y, far, x))
+            x, y = x[order], y[order]
+            first = np.concatenate(([True], x[1:] != x[:-1]))[: len(x)]
+            x, y = x[first], y[first]
+        out_x.append(x)
+        out_y.append(y)
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def _blocks(most: int, numerator: int, denominator: int):
+def _blocks(most: int, nearest: bool, numerator: int, denominator: int):
     """Pairs (a, b) that cross components in the buckets of a group: whole small buckets, or two blocks of a large one."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -176,7 +188,7 @@ def _blocks(most: int, numerator: int, denominator: int):
             left, right = rows[member["block"][rows] == i], rows[member["block"][rows] == j]
             if len(left) and len(right):
                 # what agrees in an earlier band is found there
-                x, y = _crossing(left, right, most, member, int(member["band"][start]), numerator, denominator)
+                x, y = _crossing(left, right, most, member, int(member["band"][start]), nearest, numerator, denominator)
                 a.append(id_[x])
                 b.append(id_[y])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -186,6 +198,29 @@ def _blocks(most: int, numerator: int, denominator: int):
     return run
 
 
+def _crossing_pairs(held: DataFrame, total: int, nearest: bool, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket and different components that may be linked; ``held`` (written) has id, component_id, n and signatures."""
+    member = held.select("id", "component_id", F.posexplode("bands").alias("band", "key"))
+    mixed = (
+        member.groupBy("key")
+        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("n"))
+        .where("low < high")
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    )
+    mixed = materialised(mixed, "mixed")
+    few = mixed.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()[0]
+    groups = max(1, few // TOGETHER)
+    dealt = (
+        hot_join(member, mixed, "key", BANDS * total)
+        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(groups))))
+        .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(held.select("id", "n", "sketch", "parity", "bands"), "id")
+    )
+    return dealt.groupBy("group", "i", "j").applyInArrow(_blocks(most_odd(), nearest, numerator, denominator), "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, own: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) of classes whose full sets are similar enough; a text is a class's if it has its fingerprint."""
     total = pairs.count()
@@ -260,32 +295,14 @@ def near_duplicates(
     discard(pairs)
 
     # what is left of the buckets: members of several components, compared in blocks
-    held = own.join(component, own["id"] == component["node"], "left").select("id", "n", "sketch", "parity", "bands", F.coalesce("component_id", "id").alias("component_id"))
-    held = materialised(held, "held")
-    member = held.select("id", "component_id", F.posexplode("bands").alias("band", "key"))
-    mixed = (
-        member.groupBy("key")
-        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("n"))
-        .where("low < high")
-        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    )
-    mixed = materialised(mixed, "mixed")
-    few = mixed.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()[0]
-    groups = max(1, few // TOGETHER)
-    dealt = (
-        hot_join(member, mixed, "key", BANDS * total)
-        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(groups))))
-        .select("group", "band", "key", "id", "component_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(held.select("id", "n", "sketch", "parity", "bands"), "id")
-    )
-    crossing = dealt.groupBy("group", "i", "j").applyInArrow(_blocks(most_odd(), numerator, denominator), "a long, b long").distinct()
-    pairs = materialised(crossing, "pairs")
-    if not pairs.isEmpty():
+    for nearest in (True, False):
+        held = own.join(component, own["id"] == component["node"], "left").select("id", "n", "sketch", "parity", "bands", F.coalesce("component_id", "id").alias("component_id"))
+        pairs = materialised(_crossing_pairs(materialised(held, "held"), total, nearest, numerator, denominator), "pairs")
+        if pairs.isEmpty():
+            break
         more = _linked(pairs, own, texts, words, numerator, denominator)
         component = materialised(connected_components(component.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more)), "components")
-    discard(held, mixed, pairs)
+        discard(pairs)
 
     # a component is named by its smallest document
     classes = classes.join(component, classes["id"] == component["node"], "left").select("print", "copies", classes["node"], F.coalesce("component_id", "id").alias("root"))
