@@ -279,7 +279,10 @@ def bucket_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.bucket_shares(rows, "bucket", "l_linenumber").withColumns({c: F.round(c, 6) for c in ("gap_share", "item_share")})
 
 
-@query()
+@query("""
+WITH l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k
+""")
 def session_window_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], F.round(F.sum("value"), 4).alias("total"))
 
