@@ -61,7 +61,14 @@ def tolerance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.tolerance_sweep(pairs, "d", [0, 1, 7, 30, 365], ["o_orderpriority"]).withColumn("share", F.round("share", 6))
 
 
-@query()
+@query("""
+WITH n AS (SELECT DISTINCT lower(trim(p_name)) AS name, string_split_regex(lower(trim(p_name)), '\\s+') AS ws FROM part WHERE trim(p_name) <> ''),
+t AS (SELECT DISTINCT p_partkey, string_split_regex(trim(lower(p_type) || ' ' || lower(p_name)), '\\s+') AS ts FROM part), z AS (SELECT DISTINCT len(ws) AS k FROM n),
+s AS (SELECT DISTINCT p_partkey, k, array_to_string(ts[i : i + k - 1], ' ') AS span, ts[i : i + k - 1] AS words FROM (SELECT p_partkey, ts, k, unnest(range(1, len(ts) - k + 2)) AS i FROM t, z)),
+w AS (SELECT name, len(ws) AS k, unnest(ws) AS word FROM n), u AS (SELECT p_partkey, k, span, unnest(words) AS word FROM s),
+c AS (SELECT DISTINCT p_partkey, name, span, span = name AS exact FROM u JOIN w USING (k, word))
+SELECT p_partkey, name, span, bool_or(exact) OVER (PARTITION BY p_partkey, name) AS exact FROM c QUALIFY NOT bool_or(exact) OVER (PARTITION BY p_partkey, name) OR exact
+""")
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word spans of part names that share a word with the dictionary's names."""
     part = table(spark, sf_dir, "part")

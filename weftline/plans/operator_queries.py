@@ -1,4 +1,8 @@
-"""Operators that no other query reaches, each over whole standard tables, with the SQL that must agree."""
+"""Operators that no other query reaches, each over whole standard tables, with the SQL that must agree.
+
+Remainders of ids make up attributes that the standard tables lack (a decision, a
+claim, a status); all rows are judged by them, none is left out to save work.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import classifiers, text
 from weftline.operators import aggregates, align, evaluate, joins, ledger, linking, ranking, sequences, training
-from weftline.plans.base import query, table
+from weftline.plans.base import ORACLES, query, table
+from weftline.plans.link_queries import _cuts
 
 _HONORIFIC = r"(?i)\b(mr|meester|monsr?|de\s+heer|ds|dr|prof|ra.?dt)\.?(\s|$)"
 _NOBLE = r"(?i)\b((?:heere?|hertog|grave|graeve|graaf|marquis|vrouwe?|jonkheer|jhr|de\s+jonge)\.?)(?:\s|$)"
@@ -503,3 +508,42 @@ SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN 'unplaced' WHEN l_linenum
 """)
 def loss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy("l_linestatus", _reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+#: Scores of a corpus from those of its groups, rounded as the groups' query rounds them.
+@query(f"""
+WITH s AS ({ORACLES["boundary_prf_tol0"]})
+SELECT count(*) AS n_groups, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) / sum(tp + fp), 6) AS micro_precision, round(sum(tp) / sum(tp + fn), 6) AS micro_recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 6) AS micro_f1,
+    round(avg(f1), 6) AS macro_f1, round(avg(CASE WHEN exact_count THEN 1.0 ELSE 0.0 END), 6) AS exact_count_rate FROM s
+""")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, hyp, sizes = _cuts(spark, sf_dir)
+    scores = evaluate.boundary_scores(ref, hyp, sizes, ["conv_id"], "position").withColumn("f1", F.round("f1", 6))
+    out = evaluate.corpus_summary(scores)
+    return out.withColumns({c: F.round(c, 6) for c in ("micro_precision", "micro_recall", "micro_f1", "macro_f1", "exact_count_rate")})
+
+
+def _tau_sql(rows: str) -> str:
+    return f"""(SELECT g, band, pairs, CASE WHEN (pairs - tx) * (pairs - ty) > 0 THEN (c - d) / sqrt(CAST(pairs - tx AS DOUBLE) * (pairs - ty)) END AS tau FROM (
+        SELECT a.g, a.band, count(*) AS pairs, count(*) FILTER (sign(a.x - b.x) * sign(a.y - b.y) > 0) AS c, count(*) FILTER (sign(a.x - b.x) * sign(a.y - b.y) < 0) AS d, count(*) FILTER (a.x = b.x) AS tx, count(*) FILTER (a.y = b.y) AS ty
+        FROM {rows} a JOIN {rows} b ON a.g = b.g AND a.band = b.band AND a.id < b.id GROUP BY a.g, a.band))"""
+
+
+@query(f"""
+WITH p AS (SELECT l_orderkey AS g, l_returnflag AS band, l_suppkey AS x, l_partkey AS y, row_number() OVER w - 1 AS id, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY l_suppkey, l_partkey)),
+m AS (SELECT p.g, p.band, p.x, o.y, p.id FROM p JOIN p o ON o.g = p.g AND o.band = p.band AND p.id = (o.id + o.n // 2) % o.n)
+SELECT t.g AS l_orderkey, t.band AS l_returnflag, t.pairs, round(t.tau, 6) AS tau, round(u.tau, 6) AS control_tau FROM {_tau_sql("p")} t LEFT JOIN {_tau_sql("m")} u ON u.g = t.g AND u.band = t.band
+""")
+def order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.order_agreement(_lines(spark, sf_dir), ["l_orderkey"], "l_returnflag", "l_suppkey", "l_partkey")
+    return out.withColumns({c: F.round(c, 6) for c in ("tau", "control_tau")})
+
+
+_PERSONS = "CASE c_custkey % 3 WHEN 0 THEN 'Mr. Pieter ende Jan' WHEN 1 THEN 'Anna; Maria' ELSE '' END || ' ENDE dr. ' || lower(c_mktsegment)"
+
+
+@query(f"""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'pieter|jan|' WHEN 1 THEN 'anna|maria|' ELSE '' END || replace(replace(replace(lower(c_mktsegment), 'ch', 'g'), 'c', 'k'), 'y', 'ij') AS persons FROM customer
+""")
+def split_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(text.split_persons(F.expr(_PERSONS)), "|").alias("persons"))

@@ -131,7 +131,7 @@ def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cascade_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against the types of a small dictionary: store, rules, fuzzy words, other."""
-    labels = table(spark, sf_dir, "part").select(F.col("p_name").alias("label"), F.col("p_type").alias("category")).groupBy("label").agg(F.min("category").alias("category")).where(F.col("label").rlike("^[a-m]"))
+    labels = table(spark, sf_dir, "part").select(F.col("p_name").alias("label"), F.col("p_type").alias("category")).groupBy("label").agg(F.min("category").alias("category"))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return classify.cascade(rows, "p_name", labels, "label", "category", [("ring$", "ring"), ("^blue", "blue")])
 
