@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, embedding_dedup, license_scan, near_dedup, packing, secrets, sentencepiece_codec, sharding, toxicity, vp_search
+from weftline.llm import centroids, chat_format, embedding_dedup, license_scan, near_dedup, packing, secrets, sentencepiece_codec, sharding, source_audit, toxicity, vp_search
 from weftline.llm.pipeline_stages import packed_digest
 
 
@@ -66,6 +66,14 @@ def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table, table.where("vec_id % 100 = 0"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_sharding,
         op10_vp_search,
+        op12_source_audit,
+        op13_centroids,
     )
 }
 
@@ -88,4 +98,6 @@ ORACLES: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op10_vp_search": vp_search.ORACLE,
+    "op12_source_audit": source_audit.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
