@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import centroids, chat_format, embedding_dedup, license_scan, near_dedup, packing, secrets, sentencepiece_codec, sharding, source_audit, toxicity, vp_search
+from weftline.llm import centroids, chat_format, embedding_dedup, license_scan, near_dedup, packing, ppm, secrets, sentencepiece_codec, sharding, source_audit, toxicity, vp_search
 from weftline.llm.pipeline_stages import packed_digest
 
 
@@ -66,6 +66,10 @@ def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table, table.where("vec_id % 100 = 0"))
 
 
+def op11_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_sharding,
         op10_vp_search,
+        op11_ppm,
         op12_source_audit,
         op13_centroids,
     )
