@@ -1,6 +1,6 @@
 """Divergence of sources within each language: relational from the terms of whole texts to ranks.
 
-Terms are exploded, counted by group before they are shuffled, and compared as
+Terms (runs of ASCII letters and characters beyond ASCII) are exploded, counted by group before they are shuffled, and compared as
 integer shares of each group: every group of a language gives every kept term, and
 groups of one language meet term by term.
 """
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import materialised, picked, salted_join
 
-#: Maximal runs of characters that are neither ASCII other than letters, nor anything between them.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What ends a term: runs of ASCII characters other than letters.  Splitting there gives all matches of the complement in
+#: one pass over a text; extracting them copies the text for each match.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that a term must be in, terms reported for a group, and what shares are out of.
 LEAST, TOP, WHOLE = 10, 10, 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +50,7 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     """
     rows = picked(docs, text=text_column, lang=lang_column, source=source_column).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = materialised(rows.select("lang", "source").distinct(), "audit-groups")
-    terms = rows.select("lang", "source", F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
+    terms = rows.select("lang", "source", F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), BETWEEN), "").alias("terms"))
     # each occurrence, and each term of a document once more as the mark of the document
     marked = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))),
@@ -86,7 +87,7 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
 
 ORACLE = rf"""WITH rows AS MATERIALIZED (
     SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{TERM}') AS terms FROM documents),
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{BETWEEN.replace('[', '[^', 1)}') AS terms FROM documents),
 groups AS (SELECT DISTINCT lang, source FROM rows),
 found AS MATERIALIZED (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(terms) AS term FROM rows) GROUP BY ALL),
 kept AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM found GROUP BY lang, term HAVING count(*) >= {LEAST}),
