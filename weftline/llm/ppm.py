@@ -19,7 +19,7 @@ texts read again and added up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,13 +43,14 @@ EDGE = 0xFF
 SYMBOLS = 257
 #: Bytes of text in a block, or one row.
 BLOCK = 1 << 25
-#: Grams that are made at once.
+#: Grams that are made at once, and distinct keys that are held before they are added up.
 PIECE = 1 << 20
 #: Parts that the trie and the vocabulary are dealt into.
 SHARDS = 512
 
-_DEALT = "shard int, block long, grams array<long>, words array<binary>, n array<long>"
-_COSTS = "block long, grams array<long>, costs array<double>, words array<binary>, n array<long>"
+#: Words stand in one value, with spaces between them.
+_DEALT = "shard int, block long, grams array<long>, words binary, n array<long>"
+_COSTS = "block long, grams array<long>, costs array<double>, words binary, n array<long>"
 
 
 def low(grams: np.ndarray, order: int) -> np.ndarray:
@@ -165,6 +166,18 @@ def costs(grams: np.ndarray, trie: list[Level]) -> np.ndarray:
     return out
 
 
+def joined(words: pa.Array) -> bytes:
+    """Words with spaces between them."""
+    data, offsets = bh.text_buffer(words)
+    out = np.full(len(data) + len(words), 0x20, dtype=np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(words)), np.diff(offsets))] = data
+    return out.tobytes()
+
+
+def parted(words: bytes) -> pa.Array:
+    return words_of(np.frombuffer(words, dtype=np.uint8), np.array([0, len(words)]))[0]
+
+
 def merged_words(words: list[pa.Array], n: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     """Distinct words and the exact sum of each."""
     names = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
@@ -173,21 +186,43 @@ def merged_words(words: list[pa.Array], n: list[np.ndarray]) -> tuple[pa.Array,
     return names.dictionary, total
 
 
+class Sums:
+    """Counts of keys that come in parts, added up each time the parts outgrow what they add up to."""
+
+    def __init__(self, merge: Callable) -> None:
+        self._merge, self._limit, self._held = merge, PIECE, 0
+        self._keys: list = []
+        self._n: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray | pa.Array, n: np.ndarray) -> None:
+        self._keys.append(keys)
+        self._n.append(n)
+        self._held += len(n)
+        if self._held > self._limit:
+            keys, n = self.total()
+            self._keys, self._n, self._held, self._limit = [keys], [n], len(n), max(PIECE, 2 * len(n))
+
+    def total(self) -> tuple[np.ndarray | pa.Array, np.ndarray]:
+        return self._merge(self._keys, self._n)
+
+
+def merged_grams(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate(grams), np.concatenate(n))
+
+
 def _counted(slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]:
     """Distinct grams and words of texts (bytes, offsets, whether to learn from each), and how often texts to learn from have them."""
-    grams, words, counts, times = [], [], [], []
+    grams, words = Sums(merged_grams), Sums(merged_words)
     for data, offsets, learn in slices:
         for own, texts, begin in grams_of(data, offsets):
             kinds = pa.array(own).dictionary_encode()
             weight = np.repeat(learn[texts], np.diff(np.append(begin, len(own))))
-            grams.append(kinds.dictionary.to_numpy())
-            counts.append(np.bincount(kinds.indices.to_numpy()[weight], minlength=len(kinds.dictionary)))
+            grams.add(kinds.dictionary.to_numpy(), np.bincount(kinds.indices.to_numpy()[weight], minlength=len(kinds.dictionary)))
         every, first = words_of(data, offsets)
         names = every.dictionary_encode()
         weight = np.repeat(learn, np.diff(first))
-        words.append(names.dictionary)
-        times.append(np.bincount(names.indices.to_numpy()[weight], minlength=len(names.dictionary)))
-    return summed(np.concatenate(grams), np.concatenate(counts)), merged_words(words, times)
+        words.add(names.dictionary, np.bincount(names.indices.to_numpy()[weight], minlength=len(names.dictionary)))
+    return grams.total(), words.total()
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -220,13 +255,13 @@ def _dealt(blocks: DataFrame) -> DataFrame:
         order = np.lexsort((grams, shard))
         keys, bounds = _by_shard(shard, order)
         keys, ends = np.append(np.int32(-1), keys), np.append(0, len(m) + bounds)
-        values = [_lists(np.append(stems, grams[order]).astype(np.int64), ends, pa.int64()), pa.nulls(len(keys), pa.list_(pa.binary())), _lists(np.append(m, n[order]), ends, pa.int64())]
+        values = [_lists(np.append(stems, grams[order]).astype(np.int64), ends, pa.int64()), pa.nulls(len(keys), pa.binary()), _lists(np.append(m, n[order]), ends, pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(np.full(len(keys), block)), *values], names=["shard", "block", "grams", "words", "n"])
         if len(words):
             shard = word_shards(words)
             order = np.argsort(shard, kind="stable")
             keys, ends = _by_shard(shard, order)
-            values = [pa.nulls(len(keys), pa.list_(pa.int64())), _lists(words.take(pa.array(order)), ends, pa.binary()), _lists(times[order], ends, pa.int64())]
+            values = [pa.nulls(len(keys), pa.list_(pa.int64())), pa.array([joined(words.take(pa.array(order[a:b]))) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()), _lists(times[order], ends, pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(np.full(len(keys), block)), *values], names=["shard", "block", "grams", "words", "n"])
         give_back()
 
@@ -259,48 +294,38 @@ def _answered(dealt: DataFrame, stems: list[Level]) -> DataFrame:
     twice = dealt.where("shard >= 0").select("shard", F.col("words").isNotNull().alias("is_word"), again, F.when(F.col("again") == 1, F.col("block")).alias("block"), "grams", "words", F.when(F.col("again") == 0, F.col("n")).alias("n"))
     twice = twice.repartition("shard").sortWithinPartitions("shard", "is_word", "again")
 
-    def one(block: int, grams: np.ndarray | None, cost: np.ndarray | None, words: pa.Array | None, n: np.ndarray | None) -> pa.RecordBatch:
+    def one(block: int, grams: np.ndarray | None, cost: np.ndarray | None, words: bytes | None, n: np.ndarray | None) -> pa.RecordBatch:
         def cell(values: object, kind: pa.DataType) -> pa.Array:
             return pa.nulls(1, pa.list_(kind)) if values is None else _lists(values, np.array([0, len(values)]), kind)
 
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), cell(grams, pa.int64()), cell(cost, pa.float64()), cell(words, pa.binary()), cell(n, pa.int64())], names=["block", "grams", "costs", "words", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), cell(grams, pa.int64()), cell(cost, pa.float64()), pa.array([words], pa.binary()), cell(n, pa.int64())], names=["block", "grams", "costs", "words", "n"])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ready, held = None, False, 0
-        keys: list = []
-        counts: list[np.ndarray] = []
-        price = np.zeros(0)
+        now, ready = None, False
+        sums, price = Sums(merged_grams), np.zeros(0)
         for batch in batches:
             shards, is_word, again, blocks = (batch.column(k).to_pylist() for k in range(4))
             for i, kind in enumerate(zip(shards, is_word, strict=True)):
                 if kind != now:
-                    now, ready, keys, counts, held, limit = kind, False, [], [], 0, 1 << 20
+                    now, ready, sums = kind, False, Sums(merged_words if kind[1] else merged_grams)
                 words = is_word[i]
-                own = batch.column(5)[i].values.cast(pa.large_binary()) if words else batch.column(4)[i].values.to_numpy().astype(np.uint64)
+                own = parted(batch.column(5)[i].as_py()) if words else batch.column(4)[i].values.to_numpy().astype(np.uint64)
                 if again[i] == 0:
-                    keys.append(own)
-                    counts.append(batch.column(6)[i].values.to_numpy())
-                    held += len(own)
-                    if held > limit:  # rows of more blocks: sums of what there is
-                        a, b = merged_words(keys, counts) if words else summed(np.concatenate(keys), np.concatenate(counts))
-                        keys, counts, held = [a], [b], len(a)
-                        limit = max(1 << 20, 2 * held)
+                    sums.add(own, batch.column(6)[i].values.to_numpy())
                     continue
                 if not ready:
                     ready = True
+                    names, total = sums.total()
                     if words:
-                        names, total = merged_words(keys, counts)
                         seen = total > 0
                         names, total = names.filter(pa.array(seen)), total[seen]
                         yield one(-1, None, None, None, np.array([total.sum(), len(total)]))
                     else:
-                        names, total = summed(np.concatenate(keys), np.concatenate(counts))
                         price = costs(names, [*stems, *levels(names, total, ORDER, STEM, stems[-1])])
-                    keys, counts = [], []
                 if words:
                     at = pc.index_in(own, value_set=names)
                     known = at.is_valid()
-                    yield one(blocks[i], None, None, own.filter(known), total[at.drop_null().to_numpy()])
+                    yield one(blocks[i], None, None, joined(own.filter(known)), total[at.drop_null().to_numpy()])
                 else:
                     yield one(blocks[i], own.astype(np.int64), price[np.searchsorted(names, own)], None, None)
 
@@ -325,7 +350,7 @@ def _summed_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
     order = np.argsort(grams, kind="stable")
     grams, price = grams[order].astype(np.uint64), price[order]
     with_words = cells.filter(pc.is_valid(cells.column("words")))
-    names = pc.list_flatten(with_words.column("words")).combine_chunks().cast(pa.large_binary())
+    names = parted(b"".join(with_words.column("words").to_pylist()))
     times = pc.list_flatten(with_words.column("n")).combine_chunks().to_numpy()
     out: list[pa.RecordBatch] = []
     for part in units.slices(iter(texts.combine_chunks().to_batches()), 1):
