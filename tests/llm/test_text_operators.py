@@ -254,7 +254,6 @@ def test_byte_bpe_agrees_with_the_library():
 
     path = byte_bpe.default_path()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("abcé '\n\t 　.,1漢 ") for _ in range(rng.randint(1, 200))) for _ in range(200)]
     ids, before = byte_bpe.batch_ids(pa.array(texts), byte_bpe.read(path))

@@ -30,23 +30,30 @@ def _byte_of() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Each token's bytes in order of their ids, compressed, and the pattern that splits texts: what workers need of the file."""
+    """Each token's bytes in order of their ids, compressed, the pattern that splits texts, and special tokens with their ids: what workers need of the file."""
 
     packed: bytes
     pattern: str
+    special: tuple[tuple[str, int], ...] = ()
 
 
 @lru_cache(maxsize=2)
 def read(path: str) -> Vocabulary:
-    """The vocabulary of a file on the driver, without special tokens."""
+    """The vocabulary of a file on the driver.
+
+    A special token with a space, or one that takes in what is around it, raises ValueError: units end at spaces.
+    """
     import public_tokenizers
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    special = {x["content"] for x in added}
+    if any(" " in x["content"] or x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in added):
+        raise ValueError("special tokens must be plain")
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return Vocabulary(zlib.compress(pickle.dumps(ranks)), public_tokenizers.PATTERN)
+    return Vocabulary(zlib.compress(pickle.dumps(ranks)), public_tokenizers.PATTERN, tuple((x["content"], x["id"]) for x in added))
 
 
 @lru_cache(maxsize=2)
@@ -54,19 +61,19 @@ def _encoding(vocabulary: Vocabulary):
     """Ids are ranks of merges in such vocabularies, so that tiktoken gives what ``tokenizers`` gives, in less time."""
     import tiktoken
 
-    return tiktoken.Encoding("byte_bpe", pat_str=vocabulary.pattern, mergeable_ranks=pickle.loads(zlib.decompress(vocabulary.packed)), special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=vocabulary.pattern, mergeable_ranks=pickle.loads(zlib.decompress(vocabulary.packed)), special_tokens=dict(vocabulary.special))
 
 
 @lru_cache(maxsize=2)
 def _cache(vocabulary: Vocabulary) -> units.UnitCache:
-    encode = _encoding(vocabulary).encode_ordinary
-    return units.UnitCache(lambda unit: encode(unit.decode()))
+    encoding = _encoding(vocabulary)
+    return units.UnitCache(lambda unit: encoding.encode(unit.decode(), allowed_special="all"))
 
 
 def batch_ids(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in order, and the number of ids before each text (one more at the end); null is empty.
 
-    Special tokens' strings in a text are ordinary text; none is added.
+    A special token's string in a text is that token, as ``tokenizers`` has it; none is added.
     """
     data, offsets = bh.text_buffer(texts)
     if not len(data):
