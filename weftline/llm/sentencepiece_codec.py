@@ -166,7 +166,7 @@ class Model:
                         found = tails.get(window[h:i])
                         if found is None:
                             break
-                        if found >= 0 and (k == start or best[h] + scores[found] > top):
+                        if found >= 0 and best[h] + scores[found] > top:
                             top, j, k = best[h] + scores[found], h, found
                     best.append(top)
                 back.append(j)
