@@ -2,8 +2,9 @@
 
 The lexer reads source and configuration syntax (``name = literal``, ``name: literal``,
 ``"name": "literal"``, ``export NAME=literal``, ``<name>literal</name>``, with a type
-``name: type = literal``, chained ``name = other = literal``, and with a key
-``table["name"] = literal``) into pairs of a target name and a literal or another name.  Constants propagate: a name that stands
+``name: type = literal``, chained ``name = other = literal``, with a key
+``table["name"] = literal``, with strings of several lines, and with strings added to each other,
+which are one literal) into pairs of a target name and a literal or another name.  Constants propagate: a name that stands
 for a literal passes it on to the names it is assigned to, and a literal is scored by
 the most sensitive name that it reaches and by its own shape.
 """
@@ -41,6 +42,9 @@ SENSITIVE = {
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "auth": 0.7, "bearer": 0.9, "signature": 0.7, "salt": 0.7, "key": 0.65,
 }
 _QUOTED = r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"""
+#: A string of several lines, and what a string goes on with: another one, added to it.
+_LONG = r"""\"{3}(?:[^"\\]|\\.|\"(?!\"\"))*\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3}"""
+_MORE = re.compile(rf"""[\x20\t]*\+\s*(?P<value>{_QUOTED})""", re.ASCII)
 #: A type: a name or path with its arguments, a reference or optional, or several as a union.
 _ARGUMENTS = r"""\[[^\[\]=\n]{0,99}(?:\[[^\[\]=\n]{0,99}\][^\[\]=\n]{0,99}){0,3}\]|<[^<>=\n]{1,99}(?:<[^<>=\n]{0,99}>[^<>=\n]{0,99}){0,3}>"""
 _ONE_TYPE = rf"""(?:[&*](?:'\w+\x20)?(?:mut\x20)?)?["']?[A-Za-z_][A-Za-z0-9_.]{{0,127}}+(?:::\w+)*["']?(?:{_ARGUMENTS})?(?:\[\])*[?!]?"""
@@ -50,8 +54,8 @@ _PAIR = re.compile(
     rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,127}}+)(?:["'](?:[\x20\t]*\])?)?(?:\[[A-Za-z0-9_]*\])*"""
     rf"""(?:(?:[?!]?[\x20\t]*:[\x20\t]*(?P<type>{_TYPE})|[\x20\t]+(?:string|\[\]byte))(?:[\x20\t]+=(?![=>])[\x20\t]*|=[\x20\t]*(?=["']))"""
     rf"""|(?P<sep>[\x20\t]*(?::=|=>|==?|:)[\x20\t]*|>(?=[^<>\s]+</)))"""
-    rf"""(?P<value>{_QUOTED}|[A-Za-z0-9+/_.=@%$!*^~\-]+)(?P<keys>(?:\[(?:"[^"\\\[\]\n]*"|'[^'\\\[\]\n]*')\])*)""",
-    re.ASCII,
+    rf"""(?P<value>{_LONG}|{_QUOTED}|[A-Za-z0-9+/_.=@%$!*^~\-]+)(?P<keys>(?:\[(?:"[^"\\\[\]\n]*"|'[^'\\\[\]\n]*')\])*)""",
+    re.ASCII | re.DOTALL,
 )
 #: What makes a name after a separator a target itself; and targets chained without spaces, with what is assigned to the last.
 _CHAINED = re.compile(r"(?:\[[A-Za-z0-9_]*\])*[\x20\t]*=(?![=>])", re.ASCII)
@@ -62,16 +66,20 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 @dataclass(frozen=True, slots=True)
 class Literal:
-    """A literal's span (code points, end exclusive), and the names that it reaches."""
+    """A literal's span (code points, end exclusive), the name it is assigned to, and how sensitive the most sensitive name is that it reaches."""
 
     start: int
     end: int
     value: str
-    names: tuple[str, ...]
+    name: str
+    weight: float
 
 
 def literals(text: str) -> list[Literal]:
-    """The literals assigned in a text, in order, each with the names that it reaches directly or through constants."""
+    """The literals assigned in a text, in order, each weighed by the names that it reaches directly or through constants.
+
+    Time and memory grow with the text, however names are assigned to each other.
+    """
     found: list[tuple[str, int, int, str]] = []
     aliases: list[tuple[str, str]] = []
     at = 0
@@ -88,7 +96,14 @@ def literals(text: str) -> list[Literal]:
         # "Note: pwd = ..." reads like a type, too
         targets = [name, kind] if kind and _PLAIN_NAME.match(kind) and sensitivity(kind) else [name]
         if quoted:
-            found += [(target, start + 1, end - 1, raw[1:-1]) for target in targets]
+            quotes = 3 if raw[:3] in ('"""', "'''") and len(raw) >= 6 else 1
+            value, start, stop = raw[quotes:-quotes], start + quotes, end - quotes
+            if quotes == 3:  # lines of its own around it
+                start, stop = start + len(value) - len(value.lstrip()), stop - len(value) + len(value.rstrip())
+                value = value.strip()
+            while quotes == 1 and (more := _MORE.match(text, at)):
+                value, stop, at = value + more["value"][1:-1], more.end() - 1, more.end()
+            found += [(target, start, stop, value) for target in targets]
             continue
         found += [(target, start, end, raw) for target in targets]
         if _PLAIN_NAME.match(raw):
@@ -110,20 +125,19 @@ def literals(text: str) -> list[Literal]:
     # a bare word that names a constant is that constant, otherwise a literal
     used = [(name, source) for name, source in aliases if source in constants]
     named = set(used)
-    onward: dict[str, list[str]] = {}
+    sources: dict[str, list[str]] = {}
     for name, source in used:
-        onward.setdefault(source, []).append(name)
-
-    def reached(name: str) -> tuple[str, ...]:
-        seen, waiting = {name: None}, [name]
+        sources.setdefault(name, []).append(source)
+    # from the most sensitive name down, each marks all that reaches it and isn't marked yet
+    weight: dict[str, float] = {}
+    for name in sorted({*constants, *sources}, key=sensitivity, reverse=True):
+        own, waiting = sensitivity(name), [name]
         while waiting:
-            for target in onward.get(waiting.pop(), ()):
-                if target not in seen:
-                    seen[target] = None
-                    waiting.append(target)
-        return tuple(seen)
+            if (reached := waiting.pop()) not in weight:
+                weight[reached] = own
+                waiting += sources.get(reached, ())
 
-    return [Literal(start, end, value, reached(name)) for name, start, end, value in found if (name, value) not in named]
+    return [Literal(start, end, value, name, weight[name]) for name, start, end, value in found if (name, value) not in named]
 
 
 def sensitivity(name: str) -> float:
@@ -146,7 +160,7 @@ def score(literal: Literal) -> float:
     """The most sensitive name's weight times the literal's randomness; placeholders score nothing."""
     if re.fullmatch(r"[*xX.]+|\$\{?.*|<.*>|%.*%|(?i:null|none|true|false|changeme|example|placeholder)", literal.value):
         return 0.0
-    return max(map(sensitivity, literal.names)) * randomness(literal.value)
+    return literal.weight * randomness(literal.value)
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
