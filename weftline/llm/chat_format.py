@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import picked
+
 #: Characters of text in a rendered part, above which the next part begins; a part holds one turn at least.
 PART = 1 << 20
 
@@ -49,8 +51,7 @@ def maximal_conversations(table: DataFrame, id_column: str = "conv_id", turn_col
 
 
 def _turns(table: DataFrame, id_column: str, turn_column: str, role_column: str, text_column: str) -> DataFrame:
-    picked = table.select(F.col(id_column).alias("conv_id"), F.col(turn_column).alias("turn"), F.col(role_column).alias("role"), F.col(text_column).alias("text"))
-    return picked.withColumn("digest", F.md5("text"))
+    return picked(table, conv_id=id_column, turn=turn_column, role=role_column, text=text_column).withColumn("digest", F.md5("text"))
 
 
 def format_chats(
@@ -62,7 +63,7 @@ def format_chats(
     and texts as empty ones.  A conversation whose turns come to more than
     ``part_chars`` characters is rendered in parts from 0 on, cut between turns, so
     that no conversation has to fit into one value; each repeated row is a turn.  No
-    rows give no rows; other columns are ignored.
+    rows give no rows; other columns are ignored, whatever their names.
     """
     turns = _turns(table, id_column, turn_column, role_column, text_column)
     kept = maximal_conversations(table, id_column, turn_column, role_column, text_column).withColumnRenamed("conv_id", "kept_id")
