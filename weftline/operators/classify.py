@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.fuzzy import pairwise, token_set_ratio
 from weftline.functions.text import normalize_text, strip_punctuation
+from weftline.operators.fuzzy_index import phrase_windows, similar_pairs, token_set_pairs
 from weftline.operators.linking import char_terms, document_frequencies, term_counts, weighted
 
 
@@ -24,17 +24,12 @@ def rule_class(text: Column, rules: Sequence[tuple[str, str]], default: str | No
 
 
 def fuzzy_class(forms: DataFrame, labels: DataFrame, form: str, label: str, threshold: float = 70) -> DataFrame:
-    """form, label, fuzzy_score: the label (the first of equals) most alike by token set ratio, null below the threshold.
+    """form, label, fuzzy_score: the label (the first of equals) most alike by token set ratio, none below the threshold.
 
-    Distinct forms are compared with the labels that share the beginning of a word with
-    them; with no shared word or beginning the ratio can't reach the threshold in practice.
+    Distinct forms are compared with all labels that can reach it (``fuzzy_index.token_set_pairs``).
     """
-    heads = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 2)))
-    a = forms.select(form).where(F.col(form).isNotNull()).distinct().withColumn("_h", F.explode(heads(F.col(form))))
-    b = labels.select(label).where(F.col(label).isNotNull()).distinct().withColumn("_h", F.explode(heads(F.col(label))))
-    pairs = a.join(b, "_h").select(form, label).distinct().withColumn("fuzzy_score", pairwise(token_set_ratio, form, label))
     best = F.row_number().over(Window.partitionBy(form).orderBy(F.desc("fuzzy_score"), label))
-    return pairs.where(F.col("fuzzy_score") >= threshold).withColumn("_n", best).where("_n = 1").drop("_n")
+    return token_set_pairs(forms, labels, form, label, threshold).withColumn("_n", best).where("_n = 1").drop("_n")
 
 
 def tfidf_class(forms: DataFrame, labels: DataFrame, form: str, label: str, least: float = 0.15) -> DataFrame:
@@ -186,35 +181,10 @@ def parse_markers(rows: DataFrame, key: str, text: str, markers: dict[str, str])
 
 
 def phrase_hits(rows: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, threshold: float = 0.85) -> DataFrame:
-    """key, phrase, word_start, similarity of word windows as long as a phrase whose Levenshtein similarity with it reaches the threshold.
-
-    Windows and phrases are joined where they share a word or a word's first three
-    letters at the same place: any window beyond the threshold of a phrase of several
-    words has one such word in practice; the similarity is then exact.
-    """
-    p = phrases.select(normalize_text(phrase).alias("phrase")).where("phrase <> ''").distinct().withColumn("_words", F.split("phrase", " ")).withColumn("_n", F.size("_words"))
-    p = p.select("phrase", "_n", F.posexplode(F.transform("_words", lambda w: F.substring(w, 1, 3))).alias("_at", "_head"))
-    tokens = rows.select(key, F.split(normalize_text(text), " ").alias("_tokens")).select(key, "_tokens", F.posexplode(F.transform("_tokens", lambda w: F.substring(w, 1, 3))).alias("_pos", "_head"))
-    starts = tokens.join(F.broadcast(p), "_head").withColumn("word_start", F.col("_pos") - F.col("_at")).where("word_start >= 0").select(key, "_tokens", "phrase", "_n", "word_start").distinct()
-    # the guard keeps slice from a start below 1 wherever filters are evaluated
-    window = F.array_join(F.slice("_tokens", F.greatest(F.col("word_start") + 1, F.lit(1)), F.col("_n")), " ")
-    scored = starts.where(F.col("word_start") + F.col("_n") <= F.size("_tokens")).withColumn("_w", window)
-    similarity = 1 - F.levenshtein("_w", "phrase") / F.greatest(F.length("_w"), F.length("phrase"))
-    return scored.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select(key, "phrase", "word_start", "similarity")
+    """Windows of texts that are phrases up to spelling: see ``fuzzy_index.phrase_windows``."""
+    return phrase_windows(rows, key, text, phrases, phrase, threshold)
 
 
 def fuzzy_tokens(tokens: DataFrame, names: DataFrame, token: str, name: str, threshold: float = 0.85) -> DataFrame:
-    """token, name, similarity of distinct tokens and names that are alike by Levenshtein: candidates share a bigram at nearly the same place."""
-
-    def grams(df: DataFrame, c: str, shift: bool) -> DataFrame:
-        distinct = df.select(c).where(F.length(c) >= 3).distinct()
-        pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col(c), i, 2).alias("g")))
-        out = distinct.select(c, F.explode(pairs).alias("x")).select(c, "x.i", "x.g")
-        if not shift:
-            return out
-        return out.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(c, (F.col("i") + F.col("_d")).alias("i"), "g")
-
-    pairs = grams(tokens, token, False).join(grams(names, name, True), ["i", "g"]).select(token, name).distinct()
-    near = F.abs(F.length(token) - F.length(name)) <= (1 - threshold) * F.greatest(F.length(token), F.length(name))
-    similarity = 1 - F.levenshtein(token, name) / F.greatest(F.length(token), F.length(name))
-    return pairs.where(near).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    """token, name, similarity of distinct tokens and names that are alike by Levenshtein: see ``fuzzy_index.similar_pairs``."""
+    return similar_pairs(tokens, names, token, name, threshold)

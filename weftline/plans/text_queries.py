@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import fuzzy, text
 from weftline.operators import classify
-from weftline.plans.base import query, table
+from weftline.plans.base import query, table, tokens
 from weftline.sources import markup
 
 
@@ -148,11 +148,61 @@ def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("name", "other", F.levenshtein("name", "other").alias("edits"), F.round(fuzzy.levenshtein_similarity("name", "other"), 6).alias("similarity"))
 
 
-@query()
+@query(r"""
+WITH items AS (SELECT item_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS ws FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(ws[i : i + 5], ' ') AS phrase, len(ws[i : i + 5]) AS k FROM (SELECT ws, unnest(range(1, len(ws) + 1, 6)) AS i FROM items) WHERE array_to_string(ws[i : i + 5], ' ') <> ''),
+d AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents),
+w AS (SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS w, CASE WHEN i = 1 THEN 0 ELSE length(array_to_string(ws[1 : i - 1], ' ')) + 1 END AS a
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT doc_id, string_split(t, ' ') AS ws FROM d WHERE t <> ''), (SELECT DISTINCT k FROM p)))
+SELECT doc_id, phrase, CAST(i - 1 AS INTEGER) AS word_start, CAST(a AS INTEGER) AS start, CAST(a + length(w) AS INTEGER) AS "end", round(1 - levenshtein(w, phrase) / greatest(length(w), length(phrase)), 6) AS similarity
+FROM w JOIN p USING (k) WHERE abs(length(w) - length(phrase)) <= 0.150000001 * greatest(length(w), length(phrase)) AND 1 - levenshtein(w, phrase) / greatest(length(w), length(phrase)) >= 0.85
+""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first six words of benchmark items stand in documents, up to spelling."""
-    phrases = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(text.normalize_text("text"), " "), 1, 6), " ").alias("phrase"))
-    return classify.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, "phrase")
+    """Where benchmark items, six words at a time, stand in documents, up to spelling."""
+    words = F.split(text.normalize_text("text"), " ")
+    sixes = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(6)), lambda i: F.array_join(F.slice(words, i, 6), " "))
+    phrases = table(spark, sf_dir, "benchmark").select(F.explode(sixes).alias("phrase"))
+    hits = classify.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, "phrase")
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+#: DuckDB's levenshtein counts bytes: each character beyond ASCII becomes one that lower-case text hasn't.
+_FOREIGN = "(SELECT string_agg(DISTINCT c, '') FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM documents) WHERE c > '~')"
+_STAND_INS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_WORDS = "SELECT DISTINCT unnest(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS"
+
+
+@query(f"""
+WITH f AS MATERIALIZED (SELECT {_FOREIGN} AS f), a AS (SELECT token, translate(token, f, {_STAND_INS}) AS x FROM ({_WORDS} token FROM documents), f), b AS (SELECT name, translate(name, f, {_STAND_INS}) AS y FROM ({_WORDS} name FROM benchmark), f)
+SELECT token, name, round(CASE WHEN token = '' THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(length(token), length(name)) END, 6) AS similarity FROM a, b
+WHERE abs(length(token) - length(name)) <= 0.150000001 * greatest(length(token), length(name)) AND (token = name OR 1 - levenshtein(x, y) / greatest(length(token), length(name)) >= 0.85)
+""")
+def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that are words of benchmark items up to spelling, of any length."""
+    words = [tokens(table(spark, sf_dir, name), key, least=0).select(F.col("term").alias(c)) for name, key, c in (("documents", "doc_id", "token"), ("benchmark", "item_id", "name"))]
+    return classify.fuzzy_tokens(*words, "token", "name").withColumn("similarity", F.round("similarity", 6))
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings of at most 62 characters: one bit for each character of the first, one step for each of the second."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT"
+    masks = f"list_transform(string_split({b}, ''), lambda c: {mask})"
+    return f"(length({a}) - bit_count(list_reduce({masks}, lambda row, m: ((row + (row & m)) | (row - (row & m))) & {full}, {full})))"
+
+
+@query(f"""
+WITH a AS ({_WORDS} form FROM benchmark), b AS (SELECT DISTINCT label FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS label FROM part UNION {_WORDS} label FROM conversations)),
+p AS (SELECT form, label, length(form) + length(label) AS n FROM a, b WHERE form <> '' AND label <> ''),
+s AS (SELECT form, label, 200.0 * {_lcs_sql("form", "label")} / n AS s FROM p WHERE least(length(form), length(label)) >= 0.35 * n)
+SELECT form, label, round(s, 6) AS fuzzy_score FROM s WHERE s >= 70 QUALIFY row_number() OVER (PARTITION BY form ORDER BY s DESC, label) = 1
+""")
+def fuzzy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each word of benchmark items the word of conversations and part names that is most alike, by the ratio of what both have in common."""
+    forms = tokens(table(spark, sf_dir, "benchmark"), "item_id", least=0).select(F.col("term").alias("form"))
+    said = tokens(table(spark, sf_dir, "conversations"), "conv_id", least=0).select(F.col("term").alias("label"))
+    labels = said.unionByName(table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("label")))
+    return classify.fuzzy_class(forms, labels, "form", "label").withColumn("fuzzy_score", F.round("fuzzy_score", 6))
 
 
 @query("""
