@@ -18,60 +18,87 @@ PIN, OFFSET, SAME_DATE, PERSON = 50.0, 0.35, 2.0, 0.2
 PHRASE_WEIGHT, DISPERSION_WEIGHT = 3.0, 1.0
 
 
-def needleman_wunsch(match: np.ndarray, allowed: np.ndarray, gap: float = GAP, start: float = 0.0) -> list[tuple[int | None, int | None]]:
-    """Pairs of the best global alignment; a diagonal needs ``allowed``; of equal moves the diagonal, then a skipped row, wins."""
-    n, m = match.shape
-    score = np.full((n + 1, m + 1), start)
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)
-    score[1:, 0] = start - gap * np.arange(1, n + 1)
-    score[0, 1:] = start - gap * np.arange(1, m + 1)
-    move[1:, 0], move[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        diagonal = np.where(allowed[i - 1], score[i - 1, :-1] + match[i - 1], -np.inf)
-        skip_row = score[i - 1, 1:] - gap
-        for j in range(1, m + 1):
-            skip_column = score[i, j - 1] - gap
-            best = max(diagonal[j - 1], skip_row[j - 1], skip_column)
-            score[i, j] = best
-            move[i, j] = 0 if best == diagonal[j - 1] else 1 if best == skip_row[j - 1] else 2
-    i, j, out = n, m, []
-    while i or j:
-        step = move[i, j]
-        if step == 0 and i and j:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif step == 1:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
+def best_chain(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int, m: int) -> list[tuple[int, int]]:
+    """Of n rows and m columns the cells (i, j, a whole ``weight`` each) of the heaviest chain that rises in both, from its last cell to its first.
+
+    Of equally heavy chains it is the one of the alignment that from the end prefers to
+    take a cell, then to skip a row.  Cells meet in a tree of running maxima over the
+    columns: c cells take c log m steps, and no table is held.
+    """
+    kept = np.flatnonzero(weight >= 0)
+    kept = kept[np.lexsort((j[kept], i[kept]))]
+    rows, columns, weights = i[kept].tolist(), j[kept].tolist(), weight[kept].tolist()
+    tree, total = [0] * (m + 1), [0] * len(kept)
+    at = 0
+    while at < len(kept):
+        end = at
+        while end < len(kept) and rows[end] == rows[at]:
+            best, x = 0, columns[end]
+            while x:
+                best = max(best, tree[x])
+                x &= x - 1
+            total[end] = best + weights[end]
+            end += 1
+        for c in range(at, end):
+            x = columns[c] + 1
+            while x <= m:
+                tree[x] = max(tree[x], total[c])
+                x += x & -x
+        at = end
+    of_total: dict[int, list[int]] = {}
+    for c, t in enumerate(total):
+        of_total.setdefault(t, []).append(c)  # rows ascend, and columns within a row
+    out, left, row, column = [], max(total, default=0), n - 1, m - 1
+    while row >= 0 and column >= 0:
+        inside = [c for c in of_total.get(left, ()) if rows[c] <= row and columns[c] <= column]
+        here = [c for c in inside if columns[c] == column]
+        if not left:  # nothing is gained any more: rows are skipped, but for cells that cost nothing
+            inside = here
+        if not inside:
+            break
+        c = here[-1] if here else max(c for c in inside if rows[c] == rows[inside[0]])
+        out.append((rows[c], columns[c]))
+        left, row, column = left - weights[c], rows[c] - 1, columns[c] - 1
+    return out
+
+
+def alignment_steps(chain: list[tuple[int, int]], n: int, m: int) -> list[tuple[int | None, int | None]]:
+    """The alignment that has the pairs of ``chain`` (from the last to the first): before each pair its columns alone, then its rows alone."""
+    out: list[tuple[int | None, int | None]] = []
+    for a, b in [*chain, (-1, -1)]:
+        out += [(x, None) for x in range(n - 1, a, -1)] + [(None, x) for x in range(m - 1, b, -1)]
+        if a >= 0:
+            out.append((a, b))
+        n, m = a, b
     return out[::-1]
 
 
-def _weighed(own: pd.DataFrame, n: int, m: int, semantic_weight: float, least_similarity: float, expected: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of n rows and m columns what matching each pair scores, and whether it may be matched, from the ``cells`` of one group."""
-    own = own[(own["i"] < n) & (own["j"] < m)]
-    at = (own["i"].to_numpy().astype(int), own["j"].to_numpy().astype(int))
+#: Scores are compared in millionths, so that equal ones are equal whatever the order of their sums.
+MILLIONTHS = 1_000_000
+
+
+def needleman_wunsch(match: np.ndarray, allowed: np.ndarray, gap: float = GAP) -> list[tuple[int | None, int | None]]:
+    """Pairs of the best global alignment; a diagonal needs ``allowed``; of equal moves the diagonal, then a skipped row, wins."""
+    n, m = match.shape
+    i, j = np.nonzero(allowed)
+    return alignment_steps(best_chain(i, j, np.rint((match[i, j] + 2 * gap) * MILLIONTHS).astype(np.int64), n, m), n, m)
 
-    def spread(values: pd.Series, kind: type) -> np.ndarray:
-        out = np.zeros((n, m), dtype=kind)
-        out[at] = values.to_numpy()
-        return out
 
-    solid = spread(own["overlap"] + own["places"] + own["orgs"], float)
-    similar = spread(own["similarity"], float)
-    overlap = solid + np.where(solid > 0, PERSON * spread(own["persons"], float), 0.0)
-    pinned = spread(own["pinned"], bool)
-    fits = (overlap > 0) | ((similar >= least_similarity) & (semantic_weight > 0))
+def _weighed(own: pd.DataFrame, n: int, m: int, semantic_weight: float, least_similarity: float, expected: float | None) -> pd.DataFrame:
+    """Of n rows and m columns the cells that may be matched, from the ``cells`` of one group, with what matching them scores: i, j, match."""
+    own = own[(own["i"] < n) & (own["j"] < m)].drop_duplicates(["i", "j"], keep="last")
+    solid = own["overlap"] + own["places"] + own["orgs"]
+    overlap = solid + np.where(solid > 0, PERSON * own["persons"], 0.0)
+    pinned = own["pinned"].astype(bool)
+    fits = (overlap > 0) | ((own["similarity"] >= least_similarity) & (semantic_weight > 0))
     # a pinned row has its pin or nothing, whatever else it overlaps with
-    held = pinned.any(axis=1, keepdims=True)
-    allowed = np.where(held, pinned, fits & ~spread(own["blocked"], bool))
-    aside = np.abs(spread(own["offset_gap"], float))
+    held = own["i"].isin(own.loc[pinned, "i"])
+    allowed = np.where(held, pinned, fits & ~own["blocked"].astype(bool))
+    aside = own["offset_gap"].abs()
     if expected is not None:
-        aside = aside + np.abs(np.arange(m)[None, :] - expected - np.arange(n)[:, None])
-    match = overlap + semantic_weight * similar + PIN * pinned - OFFSET * aside + SAME_DATE * spread(own["same_date"], bool)
-    return match, allowed
+        aside = aside + (own["j"] - expected - own["i"]).abs()
+    match = overlap + semantic_weight * own["similarity"] + PIN * pinned - OFFSET * aside + SAME_DATE * own["same_date"].astype(bool)
+    return pd.DataFrame({"i": own["i"].astype(int), "j": own["j"].astype(int), "match": match})[allowed.astype(bool)]
 
 
 def nw_align(cells: DataFrame, sizes: DataFrame, group: str, semantic_weight: float = 0.0, gap: float = GAP, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
@@ -83,8 +110,10 @@ def nw_align(cells: DataFrame, sizes: DataFrame, group: str, semantic_weight: fl
     which adds PIN and rules out all else in its row; blocked; offset_gap, the distance
     from the expected place, which costs OFFSET each.  ``sizes`` has group, n, m and
     optionally expected, the j of row 0, from which every pair's distance is counted.
-    A pair may be matched if it overlaps or is similar enough, and isn't blocked.  One
-    kernel call holds one group's table.
+    A pair may be matched if it overlaps or is similar enough, and isn't blocked; of
+    repeated pairs one counts.  Gaps cost ``gap`` for each row and column, so a pair gains
+    its score and two gaps, and the best alignment is the heaviest chain of pairs: a kernel
+    call holds one group's cells, not its table, and steps grow with their number.
     """
     given = dict(similarity=0.0, overlap=0.0, places=0.0, orgs=0.0, persons=0.0, pinned=False, blocked=False, same_date=False, offset_gap=0.0)
     cells = cells.select(group, "i", "j", *[F.coalesce(F.col(c), F.lit(v)).alias(c) if c in cells.columns else F.lit(v).alias(c) for c, v in given.items()])
@@ -95,7 +124,9 @@ def nw_align(cells: DataFrame, sizes: DataFrame, group: str, semantic_weight: fl
         if not len(size):
             return pd.DataFrame({group: [], "step": [], "i": [], "j": []})
         n, m, expected = int(size["n"].iloc[0]), int(size["m"].iloc[0]), size["expected"].iloc[0]
-        pairs = needleman_wunsch(*_weighed(own, n, m, semantic_weight, least_similarity, None if pd.isna(expected) else float(expected)), gap)
+        cells = _weighed(own, n, m, semantic_weight, least_similarity, None if pd.isna(expected) else float(expected))
+        weight = np.rint((cells["match"].to_numpy(dtype=float) + 2 * gap) * MILLIONTHS).astype(np.int64)
+        pairs = alignment_steps(best_chain(cells["i"].to_numpy(), cells["j"].to_numpy(), weight, n, m), n, m)
         return pd.DataFrame(
             {group: [key[0]] * len(pairs), "step": range(len(pairs)), "i": pd.array([a for a, _ in pairs], dtype="Int64"), "j": pd.array([b for _, b in pairs], dtype="Int64")}
         )

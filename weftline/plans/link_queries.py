@@ -187,13 +187,42 @@ def tiered_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.tiered_milestones(rows, cells, ["conv_id"], threshold=12)
 
 
-@query()
+def _nw_sql(weights: str) -> str:
+    """Global alignments in SQL, row by row, then from the end; ``weights`` has conv_id, i, j and w in millionths, of the pairs that may be matched."""
+    return f"""
+WITH RECURSIVE {_CELLS}, v AS ({weights}),
+g2 AS (SELECT conv_id, i, list(w ORDER BY j) AS ws FROM (SELECT conv_id, unnest(range(0, n)) AS i FROM sizes) JOIN (SELECT conv_id, unnest(range(0, m)) AS j FROM sizes) USING (conv_id) LEFT JOIN v USING (conv_id, i, j) GROUP BY conv_id, i),
+d AS (SELECT conv_id, 0::BIGINT AS i, list_transform(range(0, m + 1), lambda x: 0::BIGINT) AS r, n, m FROM sizes
+  UNION ALL SELECT conv_id, i + 1, list_transform(range(1, m + 2), lambda k: list_max(c[1:k])), n, m
+  FROM (SELECT d.conv_id, d.i, d.n, d.m, list_transform(range(0, d.m + 1), lambda j: greatest(d.r[j + 1], CASE WHEN j > 0 AND g2.ws[j] IS NOT NULL THEN d.r[j] + g2.ws[j] ELSE 0 END)) AS c FROM d JOIN g2 ON d.conv_id = g2.conv_id AND d.i = g2.i WHERE d.i < d.n)),
+e AS (SELECT x.conv_id, x.i, x.r, y.r AS up, g2.ws FROM d x LEFT JOIN d y ON x.conv_id = y.conv_id AND x.i = y.i + 1 LEFT JOIN g2 ON x.conv_id = g2.conv_id AND g2.i = x.i - 1),
+p AS (SELECT conv_id, n::BIGINT AS i, m::BIGINT AS j, 0::BIGINT AS back, NULL::BIGINT AS a, NULL::BIGINT AS b FROM sizes
+  UNION ALL SELECT conv_id, CASE WHEN move = 2 THEN i ELSE i - 1 END, CASE WHEN move = 1 THEN j ELSE j - 1 END, back + 1, CASE WHEN move = 2 THEN NULL ELSE i - 1 END, CASE WHEN move = 1 THEN NULL ELSE j - 1 END
+  FROM (SELECT p.*, CASE WHEN p.i > 0 AND p.j > 0 AND e.ws[p.j] IS NOT NULL AND e.up[p.j] + e.ws[p.j] = e.r[p.j + 1] THEN 0 WHEN p.i > 0 AND (p.j = 0 OR e.up[p.j + 1] = e.r[p.j + 1]) THEN 1 ELSE 2 END AS move FROM p JOIN e ON p.conv_id = e.conv_id AND p.i = e.i WHERE p.i > 0 OR p.j > 0))
+SELECT conv_id, max(back) OVER (PARTITION BY conv_id) - back AS step, a AS i, b AS j FROM p WHERE back > 0
+"""
+
+
+@query(_nw_sql("SELECT conv_id, i, j, CAST(round((score + 0.2) * 1000000) AS BIGINT) AS w FROM cells WHERE score > 0"))
 def nw_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global alignment of user and assistant turns of each conversation."""
     cells, sizes = _cells(spark, sf_dir)
     return align.nw_align(cells.withColumnRenamed("score", "overlap"), sizes, "conv_id")
 
 
+@query(_nw_sql("""SELECT conv_id, i, j, CAST(round((score + 0.2 + 50 * pinned - 0.35 * abs(j - i - 1) + 2 * same_date) * 1000000) AS BIGINT) AS w FROM (
+  SELECT conv_id, i, j, coalesce(score, 0.0) AS score, CAST(i = 0 AND j = 1 AS INTEGER) AS pinned, CAST((i + 2 * j) % 3 = 0 AS INTEGER) AS same_date, (i + j) % 5 = 4 AS blocked
+  FROM cells FULL JOIN (SELECT conv_id, 0 AS i, 1 AS j FROM sizes WHERE m > 1) USING (conv_id, i, j)) WHERE CASE WHEN i = 0 AND conv_id IN (SELECT conv_id FROM sizes WHERE m > 1) THEN pinned = 1 ELSE score > 0 AND NOT blocked END"""))
+def nw_align_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with hints: the first turn is pinned to the second answer, some pairs are blocked or of one date, and answers are expected one on."""
+    cells, sizes = _cells(spark, sf_dir)
+    pins = sizes.where("m > 1").select("conv_id", F.lit(0).alias("i"), F.lit(1).alias("j"), F.lit(True).alias("pinned"))
+    i, j = F.col("i"), F.col("j")
+    cells = cells.withColumnRenamed("score", "overlap").join(pins, ["conv_id", "i", "j"], "full_outer")
+    cells = cells.withColumns({"blocked": (i + j) % 5 == 4, "same_date": (i + 2 * j) % 3 == 0})
+    return align.nw_align(cells, sizes.withColumn("expected", F.lit(1.0)), "conv_id")
+
+
 @query()
 def tri_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sizes = _cells(spark, sf_dir)
