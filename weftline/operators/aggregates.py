@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import cut, discordant_pairs, running_totals
+
 
 def idf_weights(rows: DataFrame, name: str, smoothed: bool = False) -> DataFrame:
     """name, frequency, idf = ln(rows / frequency), null names being rows too; smoothed: ln((rows + 1) / (frequency + 1)) + 1.
@@ -57,13 +59,12 @@ def average_ranks(rows: DataFrame, column: str, out: str, group: Sequence[str] =
 
 
 def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """n, pearson and spearman of the rows where neither is null. Ranks come from counts of distinct values, so that no task sorts all rows."""
+    """n, pearson and spearman of the rows where neither is null.  Ranks come from counts of distinct values, summed up by ranges: no task sorts all of them."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
 
     def ranks(c: str) -> DataFrame:
-        counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+        counts = running_totals(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], {"before": "n"})
+        return counts.select(c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
     ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
     return ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
@@ -77,20 +78,33 @@ def lag1_autocorrelation(rows: DataFrame, order: str, value: str, group: Sequenc
 
 
 def kendall_tau(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """Kendall's tau-b within groups: pairs, concordant, discordant, tau; null where a side is all ties."""
-    a = rows.select(*group, F.col(x).alias("x1"), F.col(y).alias("y1"), F.row_number().over(Window.partitionBy(*group).orderBy(x, y)).alias("i"))
-    b = a.select(*group, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("i").alias("j"))
-    s = F.signum((F.col("x1") - F.col("x2")).cast("double")) * F.signum((F.col("y1") - F.col("y2")).cast("double"))
-    pairs = a.join(b, list(group)).where("i < j")
-    sums = pairs.groupBy(*group).agg(
-        F.count("*").alias("pairs"),
-        F.count_if(s > 0).alias("concordant"),
-        F.count_if(s < 0).alias("discordant"),
-        F.count_if(F.col("x1") == F.col("x2")).alias("_tx"),
-        F.count_if(F.col("y1") == F.col("y2")).alias("_ty"),
-    )
+    """Kendall's tau-b within groups: pairs, concordant, discordant, tau; null where a side is all ties.
+
+    Rows with a null x or y take no part, and a group of one row has no result.  Equal rows
+    are counted first; the rest is counting of inversions, n log n in all, by ranges.
+    """
+    points = cut(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_px"), F.col(y).alias("_py")).groupBy(*group, "_px", "_py").agg(F.count("*").alias("_n")))
+
+    def tied(by: Sequence[str], out: str) -> DataFrame:
+        sizes = points.groupBy(*group, *by).agg(F.sum("_n").alias("_m"))
+        return sizes.groupBy(*group).agg(F.sum(F.expr("_m * (_m - 1) div 2")).alias(out))
+
+    out = tied([], "pairs").where("pairs > 0")
+    for by, name in ((["_px"], "_tx"), (["_py"], "_ty"), (["_px", "_py"], "_txy")):
+        out = _beside(out, tied(by, name), group)
+    out = _beside(out, discordant_pairs(points, group, "_px", "_py", "_n"), group)
+    concordant = F.col("pairs") - F.col("_tx") - F.col("_ty") + F.col("_txy") - F.col("discordant")
     root = F.sqrt((F.col("pairs") - F.col("_tx")).cast("double") * (F.col("pairs") - F.col("_ty")).cast("double"))
-    return sums.select(*group, "pairs", "concordant", "discordant", F.when(root > 0, (F.col("concordant") - F.col("discordant")) / root).alias("tau"))
+    return out.withColumn("concordant", concordant).select(*group, "pairs", "concordant", "discordant", F.when(root > 0, (F.col("concordant") - F.col("discordant")) / root).alias("tau"))
+
+
+def _beside(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Columns of both, by groups, of which nulls are one too."""
+    b = b.withColumnsRenamed({g: f"_b{k}" for k, g in enumerate(group)})
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_b{k}"))
+    return a.join(b, same).drop(*[f"_b{k}" for k in range(len(group))])
 
 
 def effect_size(rows: DataFrame, label: str, value: str) -> DataFrame:
@@ -102,8 +116,7 @@ def effect_size(rows: DataFrame, label: str, value: str) -> DataFrame:
     """
     known = rows.where(F.col(label).isin(0, 1) & F.col(value).isNotNull())
     counts = known.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    steps = counts.select("v", "p", "q", F.coalesce(F.sum("p").over(below), F.lit(0)).alias("p_below"), F.coalesce(F.sum("q").over(below), F.lit(0)).alias("q_below"))
+    steps = running_totals(counts, ["v"], {"p_below": "p", "q_below": "q"})
     totals = counts.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     scored = steps.crossJoin(F.broadcast(totals)).withColumn("j", (F.col("np") - F.col("p_below")) / F.col("np") - (F.col("nq") - F.col("q_below")) / F.col("nq"))
     return scored.agg(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import cut
+
 from weftline.operators.joins import neighbour_candidates
 
 
@@ -64,28 +66,15 @@ def greedy_claims(pairs: DataFrame, left: str, right: str, score: str, low_confi
     pair is left; each is written out, to cut lineage.  Pairs of low confidence never claim.
     """
     rest = pairs.where(~F.col(low_confidence)) if low_confidence else pairs
-    rest = _cut(rest.groupBy(left, right).agg(F.max(score).alias(score)))
+    rest = cut(rest.groupBy(left, right).agg(F.max(score).alias(score)))
     out = None
     while not rest.isEmpty():
-        taken = _cut(mutual_best(rest, left, right, score))
+        taken = cut(mutual_best(rest, left, right, score))
         out = taken if out is None else out.unionByName(taken)
-        rest = _cut(rest.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti"))
+        rest = cut(rest.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti"))
     return rest if out is None else out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that the session names."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="weftline-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weftline"
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def resolve_days(ledger: DataFrame, decisions: DataFrame, claims: DataFrame, scored: DataFrame, recoverable: DataFrame) -> DataFrame:
     """Each ledger row's day_status, resolved_session and resolution_source, by precedence.
 

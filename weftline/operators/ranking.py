@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import running_totals
+
 
 def top_k(rows: DataFrame, group: Sequence[str], k: int, score: str, *ties: Column | str) -> DataFrame:
     """The k best-scored rows of each group with ``rank`` from 1; Spark keeps k of a group in a task before it shuffles."""
@@ -72,9 +74,7 @@ def chronological_split(rows: DataFrame, date: str, key: str, train: float = 0.7
     Positions come from counts per date, so that no task sorts all rows: only ties within a date are ranked.
     """
     per = rows.groupBy(F.col(date).alias("_date")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = per.agg(F.sum("_n").alias("_total"))
-    starts = per.select("_date", before.alias("_before")).crossJoin(F.broadcast(total))
+    starts = running_totals(per, ["_date"], {"_before": "_n"}).crossJoin(F.broadcast(per.agg(F.sum("_n").alias("_total"))))
     placed = rows.join(starts, F.col(date).eqNullSafe(F.col("_date")))
     k = F.col("_before") + F.row_number().over(Window.partitionBy(date).orderBy(key)) - 1
     a, b = F.floor(F.col("_total") * train), F.floor(F.col("_total") * validate)
