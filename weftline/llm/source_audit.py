@@ -50,24 +50,19 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     """
     rows = picked(docs, text=text_column, lang=lang_column, source=source_column).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = materialised(rows.select("lang", "source").distinct(), "audit-groups")
-    terms = rows.select("lang", "source", F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), BETWEEN), "").alias("terms"))
-    # each occurrence, and each term of a document once more as the mark of the document
-    marked = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))),
-    )
-    counts = terms.select("lang", "source", F.explode(marked).alias("x")).groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum(1 - F.col("x.n")).alias("docs"))
-    counts = materialised(counts, "audit-counts")
-
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-    kept = materialised(kept, "audit-terms")
-    about = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    # of ASCII alone the whole text may be lowered, which is faster
+    lower = F.when(F.octet_length("text") == F.length("text"), F.lower("text")).otherwise(F.translate("text", _UPPER, _LOWER))
+    terms = rows.select("lang", "source", F.array_remove(F.split(lower, BETWEEN), "").alias("terms"))
+    counts = materialised(terms.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n")), "audit-counts")
+    documents = terms.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("docs"))
+    common = documents.where(F.col("docs") >= least).select("lang", "term")
+    kept = materialised(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(common, ["lang", "term"]), "audit-terms")
 
-    total = kept.count()
-    dense = salted_join(kept, groups, "lang", "term", total).join(counts.drop("docs"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    dense = materialised(dense, "audit-dense")
-    sums = dense.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    shares = dense.join(sums, ["lang", "source"]).select("lang", "source", "term", "n", _share("n", "total", "terms").alias("p"), _share("lang_n", "lang_total", "terms").alias("q"))
+    about = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    totals = counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    known = materialised(groups.join(about, "lang").join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0))), "audit-totals")
+    dense = salted_join(kept, known, "lang", "term", kept.count()).join(counts, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    shares = dense.select("lang", "source", "term", "n", _share("n", "total", "terms").alias("p"), _share("lang_n", "lang_total", "terms").alias("q"))
     shares = materialised(shares, "audit-shares")
 
     other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("other_p"))
