@@ -26,11 +26,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; if unset, a temporary folder in local mode, and one in the warehouse on a cluster."""
+    """``spark.checkpoint.dir``; if unset, a temporary folder in local mode, and ValueError on a cluster: only the session knows what its machines share."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weftline"
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="weftline-")
