@@ -9,6 +9,7 @@ a window of its length in the longer one.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -48,15 +49,32 @@ def token_set_ratio(a: str, b: str) -> float:
     return max([ratio(first, second), *([ratio(both, first), ratio(both, second)] if both else [])])
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """0 to 100: the best window of the longer string, also cut at its ends."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """0 to 100: the best window of the longer string, also cut at its ends; 0 if that is below ``least``.
+
+    Two strings share no longer subsequence than they have characters in common; these are
+    counted as the window moves on, and it is only measured where they may beat the best so far.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0.0 if b else 100.0
     if a in b:
         return 100.0
-    return max(ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+    size, lacking, common, best = len(a), Counter(a), 0, 0.0
+    for i in range(1 - size, len(b)):
+        if i + size <= len(b):
+            c = b[i + size - 1]
+            common += lacking[c] > 0
+            lacking[c] -= 1
+        if i > 0:
+            c = b[i - 1]
+            lacking[c] += 1
+            common -= lacking[c] > 0
+        bound = 200 * common / (size + min(len(b), i + size) - max(0, i))
+        if bound > best and bound >= least:
+            best = max(best, ratio(a, b[max(0, i) : i + size]))
+    return best if best >= least else 0.0
 
 
 def divergence(name: str, forms: str) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalize_text
+from weftline.operators.dictionary import normalised_pairs
 
 #: Shorter needles aren't sought within texts, shorter words not as words.
 LEAST_SUBSTRING, LEAST_WORD = 3, 4
@@ -80,10 +81,8 @@ def union_by_priority(stages: Sequence[tuple[str, DataFrame]], keys: Sequence[st
 
 def contained_names(texts: DataFrame, names: DataFrame, block: Sequence[str], text: str = "text", name: str = "name") -> DataFrame:
     """(text row, name) pairs of one block where the normalised name of LEAST_SUBSTRING letters or more stands anywhere in the normalised text."""
-    needle, hay = normalize_text(name), normalize_text(text)
-    right = names.withColumn("_needle", needle).where(F.length("_needle") >= LEAST_SUBSTRING)
-    left = texts.withColumn("_hay", hay)
-    return left.join(right, list(block)).where(F.col("_hay").contains(F.col("_needle"))).drop("_hay", "_needle")
+    held = normalised_pairs(texts, names, block, text, name, LEAST_SUBSTRING)
+    return held.join(names.withColumn("_needle", normalize_text(name)), [*block, "_needle"]).drop("_needle")
 
 
 def word_matches(texts: DataFrame, names: DataFrame, block: Sequence[str] = (), text: str = "text", word: str = "word") -> DataFrame:
@@ -180,10 +179,10 @@ def fingerprint_matches(flat: DataFrame, raw: DataFrame, block: str, flat_id: st
 
 def unique_containers(items: DataFrame, containers: DataFrame, block: Sequence[str], item: str, text: str, container_id: str) -> DataFrame:
     """Items with the id of the single container of their block that holds their normalised text; null if there is none or several."""
-    pairs = items.withColumn("_item", normalize_text(item)).join(containers.select(*block, container_id, normalize_text(text).alias("_text")), list(block))
-    hits = pairs.where((F.col("_item") != "") & F.col("_text").contains(F.col("_item")))
-    one = hits.groupBy(*block, item).agg(F.count_distinct(container_id).alias("_n"), F.min(container_id).alias("_c"))
-    return items.join(one, [*block, item], "left").withColumn(container_id, F.when(F.col("_n") == 1, F.col("_c"))).drop("_n", "_c")
+    hits = normalised_pairs(containers.select(*block, container_id, F.col(text).alias("_text")), items, block, "_text", item)
+    one = hits.groupBy(*block, "_needle").agg(F.count_distinct(container_id).alias("_n"), F.min(container_id).alias("_c"))
+    found = items.withColumn("_needle", normalize_text(item)).join(one, [*block, "_needle"], "left")
+    return found.withColumn(container_id, F.when(F.col("_n") == 1, F.col("_c"))).drop("_n", "_c", "_needle")
 
 
 def first_available(*choices: tuple[str, Column]) -> tuple[Column, Column]:

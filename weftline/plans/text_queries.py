@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import fuzzy, text
-from weftline.operators import classify
-from weftline.plans.base import query, table, tokens
+from weftline.operators import classify, dictionary
+from weftline.plans.base import query, table, tokens, tokens_sql
 from weftline.sources import markup
 
 
@@ -226,3 +226,27 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().withColumn("variant", F.concat(F.lit("old "), F.col("p_name"))).join(names, "p_type")
     d = rows.withColumn("divergence", fuzzy.pairwise(fuzzy.divergence, "variant", "forms"))
     return d.select("p_name", "p_type", "divergence", fuzzy.divergence_band("divergence").alias("band"))
+
+
+#: Words of six letters or more of the benchmark, as names to look for.
+_NAMES = "(SELECT DISTINCT term AS name FROM " + tokens_sql("benchmark", "item_id", 6) + ")"
+
+
+@query(f"""
+SELECT name, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM {_NAMES} n JOIN documents d ON contains(lower(d.text), name) GROUP BY name
+""")
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words wherever they stand in documents, within words, too."""
+    names = tokens(table(spark, sf_dir, "benchmark"), "item_id", least=6).select("term").distinct()
+    held = dictionary.held_names(table(spark, sf_dir, "documents").select("doc_id", "text"), F.lower("text"), names, "term", into="name")
+    return held.groupBy("name").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query()
+def confirmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of each benchmark item, sought up to spelling in the documents that share a word of twelve letters or more with it."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    shortlist = tokens(docs, "doc_id", least=12).join(tokens(items, "item_id", least=12), "term")
+    names = items.select("item_id", F.substring_index("text", " ", 3).alias("name"))
+    out = dictionary.confirm_names(shortlist, docs, names, "doc_id", "text", "item_id", "name", threshold=75)
+    return out.withColumn("match_score", F.round("match_score", 6))
