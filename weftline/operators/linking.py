@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from weftline.operators.ranking import top_k
 
 #: Weights of the two cosines, least score, boost of an attested year, years of tolerance, candidates.
 CHAR_WEIGHT, WORD_WEIGHT, LEAST_SCORE, BOOST, TOLERANCE, TOP_K = 0.6, 0.4, 0.1, 0.1, 0, 5
+#: Vectors of a block of queries and of rows, and queries of one product of matrices.
+QUERY_BLOCK, ROW_BLOCK, PRODUCT_ROWS = 4096, 1 << 15, 256
 
 
 def word_terms(text: Column | str, least: int = 1, most: int = 2) -> Column:
@@ -188,3 +192,56 @@ def jaccard_best(pairs: DataFrame, left_key: str, right_key: str, score: Column,
     penalty = F.when(F.abs(day_diff) == 0, 0.0).when(F.abs(day_diff) == 1, 0.15).otherwise(0.5)
     scored = pairs.withColumn("score", score * (1 - penalty)).where(F.col("score") > least)
     return top_k(scored, [left_key], 1, "score", right_key).drop("rank")
+
+
+def dense_topk(queries: DataFrame, rows: DataFrame, query_key: str, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
+    """query_key, rank, key, cosine (``digits`` digits): each query's k nearest other rows by cosine in double precision, ties to the smaller key.
+
+    Queries and rows are dealt into blocks of about QUERY_BLOCK and ROW_BLOCK by hashes of
+    their keys, and each pair of blocks is one product of matrices, of which k rows a
+    query go on.  Vectors that are null, zero, of another length than the first query's,
+    or hold null or non-finite components take no part; a row is never its own query's answer.
+    Keys of queries are unique, rows of one key are answers each for itself.
+    """
+    sound = F.col("_v").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_v", lambda x: x != 0)
+
+    def read(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).alias(name), F.col(vector).cast("array<double>").alias("_v")).where(F.col(name).isNotNull()).where(sound)
+
+    asked, known = read(queries, query_key), read(rows, key)
+    first = asked.select(F.size("_v").alias("n")).first()
+    schema = f"{query_key} {dict(asked.dtypes)[query_key]}, {key} {dict(known.dtypes)[key]}, cosine double"
+    if first is None:
+        return rows.sparkSession.createDataFrame([], schema).select(query_key, F.lit(0).alias("rank"), key, "cosine")
+    asked, known = asked.where(F.size("_v") == first.n), known.where(F.size("_v") == first.n)
+    across, down = -(-asked.count() // QUERY_BLOCK), max(1, -(-known.count() // ROW_BLOCK))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_a", block(query_key, across)).withColumn("_b", every(down)).groupBy("_a", "_b")
+    right = known.withColumn("_b", block(key, down)).withColumn("_a", every(across)).groupBy("_a", "_b")
+
+    def units(vectors: pd.Series) -> np.ndarray:
+        out = np.stack(vectors.to_list())
+        # scaled first, so that squares neither overflow nor vanish
+        out = out / np.abs(out).max(axis=1, keepdims=True)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    def product(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(q) and len(r):
+            r = r.sort_values(key, kind="stable")
+            names, b = r[key].to_numpy(), units(r["_v"])
+            for at in range(0, len(q), PRODUCT_ROWS):
+                part = q.iloc[at : at + PRODUCT_ROWS]
+                scores = np.round(units(part["_v"]) @ b.T, digits)
+                for name, own in zip(part[query_key], scores, strict=True):
+                    own[names == name] = -np.inf
+                    # all that reach the k-th best, so that ties go by key
+                    least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+                    kept = np.flatnonzero((own >= least) & (own > -np.inf))
+                    kept = kept[np.argsort(-own[kept], kind="stable")][:k]
+                    parts.append(pd.DataFrame({query_key: name, key: names[kept], "cosine": own[kept] + 0.0}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in (query_key, key, "cosine")})
+
+    best = left.cogroup(right).applyInPandas(product, schema)
+    return top_k(best, [query_key], k, "cosine", key).select(query_key, "rank", key, "cosine")

@@ -96,14 +96,13 @@ def temporal_gate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, d.e), 6) AS cosine FROM q, d WHERE query_id <> vec_id AND q.label = d.label)
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, d.e), 6) AS cosine FROM q, d WHERE query_id <> vec_id)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS r FROM s) WHERE r <= 3
 """)
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings")
-    q = d.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("asked"))
-    pairs = q.join(d, "label").where("query_id <> vec_id").withColumn("cosine", F.round(linking.dense_cosine("asked", "embedding"), 6))
-    return ranking.top_k(pairs, ["query_id"], 3, "cosine", "vec_id").select("query_id", "rank", "vec_id", "cosine")
+    q = d.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return linking.dense_topk(q, d, "query_id", "vec_id", "embedding", 3, digits=6)
 
 
 @query("""
@@ -115,10 +114,9 @@ SELECT count(*) AS n, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6)
 """)
 def linking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    q = d.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"), F.col("embedding").alias("asked"))
-    pairs = d.crossJoin(F.broadcast(q)).where("query_id <> vec_id").withColumn("score", F.round(linking.dense_cosine("asked", "embedding"), 9))
-    ranked = ranking.top_k(pairs, ["query_id"], 5, "score", "vec_id").select("query_id", "rank", "label", "score")
-    out = evaluate.link_metrics(ranked, q.select("query_id", F.col("gold").alias("label")), "query_id", "label")
+    q = d.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    ranked = linking.dense_topk(q, d, "query_id", "vec_id", "embedding", 5).join(d.select("vec_id", "label"), "vec_id")
+    out = evaluate.link_metrics(ranked.withColumnRenamed("cosine", "score"), q.select("query_id", "label"), "query_id", "label")
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("top_1", "top_3", "top_5", "mean_gap")])
 
 
