@@ -105,6 +105,28 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.dense_topk(q, d, "query_id", "vec_id", "embedding", 3, digits=6)
 
 
+def _similarity_sql(kind: str, share: float, grams: str) -> str:
+    """Weighted cosines (sublinear, smooth idf) of names and labels of a brand, by given n-gram lists."""
+    return f"""
+c_{kind} AS (SELECT b, side, k, term, count(*) AS tf FROM (SELECT b, side, k, unnest({grams.format(t='k')}) AS term FROM s) GROUP BY ALL), f_{kind} AS (SELECT b, term, count(*) AS df FROM c_{kind} GROUP BY ALL),
+w_{kind} AS (SELECT b, side, k, term, (ln(tf) + 1) * (ln((1 + docs) / (1 + df)) + 1) AS w FROM c_{kind} JOIN f_{kind} USING (b, term) JOIN n USING (b)),
+u_{kind} AS (SELECT b, side, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY b, side, k)) AS w FROM w_{kind}),
+p_{kind} AS (SELECT x.b, x.k AS name, y.k AS label, {share} * sum(x.w * y.w) AS s FROM u_{kind} x JOIN u_{kind} y ON x.b = y.b AND x.term = y.term AND x.side = 'l' AND y.side = 'r' GROUP BY ALL)"""
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT p_brand AS b, 'l' AS side, p_name AS k FROM part UNION ALL SELECT DISTINCT p_brand, 'r', lower(p_type) || ' ' || p_name FROM part), n AS (SELECT b, count(*) AS docs FROM s GROUP BY b),
+{_similarity_sql('word', 0.4, _WORD)}, {_similarity_sql('char', 0.6, _CHAR.replace("[2, 3, 4]", "[3, 4, 5]"))}
+SELECT b AS p_brand, name, label, round(least(greatest(sum(s), 0), 1), 6) AS similarity FROM (SELECT * FROM p_word UNION ALL SELECT * FROM p_char) GROUP BY ALL
+""")
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against types with names, within a brand."""
+    part = table(spark, sf_dir, "part")
+    left, right = part.select("p_brand", F.col("p_name").alias("text")).distinct(), part.select("p_brand", F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("text")).distinct()
+    out = linking.similarity_matrix(left.withColumn("name", F.col("text")), right.withColumn("label", F.col("text")), ["p_brand"], "name", "label", "text")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""
 WITH q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT query_id, q.label AS gold, d.label AS got, vec_id, round(list_cosine_similarity(q.e, d.e), 9) AS score FROM q, d WHERE query_id <> vec_id),

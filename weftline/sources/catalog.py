@@ -6,15 +6,20 @@ import json
 import os
 import time
 import tomllib
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Under which name columns carry their table's provenance, and what follows the path of the file beside it.
+PROVENANCE, BESIDE = "provenance", ".provenance.json"
+
+
 class DatasetNotFound(KeyError):
     """No dataset of that name, or none of its paths exists."""
 
@@ -74,10 +79,14 @@ class Catalog:
         return read(self.spark, self.resolve(name), schema)
 
     def write(self, df: DataFrame, name: str, **provenance: Any) -> str:
-        """Writes a dataset in the format of its suffix, with a provenance record beside it."""
+        """Writes a dataset in the format of its suffix, with a provenance record beside it, and in Parquet's and ORC's footers.
+
+        Phase, parent and description are the manifest's, where it has them; others may be given.
+        """
         path = self.resolve(name, must_exist=False)
         entry = self.datasets[name]
-        write(df, path, name=name, phase=entry.get("phase"), parent=entry.get("parent"), **provenance)
+        known = {k: entry[k] for k in ("phase", "parent", "description") if entry.get(k)}
+        write(df, path, **{**provenance, **known, "name": name})
         return path
 
     def check(self) -> list[dict[str, Any]]:
@@ -108,12 +117,35 @@ def separator(spark: SparkSession, path: str) -> str:
     return max("\t;,", key=line.count)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def provenance(df: DataFrame) -> dict[str, Any] | None:
+    """The record that a table's columns carry from where it was written; null if none does."""
+    return next((json.loads(f.metadata[PROVENANCE]) for f in df.schema if PROVENANCE in f.metadata), None)
+
+
+def with_provenance(df: DataFrame, record: Mapping[str, Any] | None) -> DataFrame:
+    """``df`` with a record on each column, so that it survives a selection; earlier ones, which are of what it was made from, go."""
+    text = None if record is None else json.dumps(record, sort_keys=True)
+    columns = []
+    for f in df.schema:
+        kept = {k: v for k, v in f.metadata.items() if k != PROVENANCE}
+        columns.append(F.col("`" + f.name.replace("`", "``") + "`").alias(f.name, metadata=kept if text is None else {**kept, PROVENANCE: text}))
+    return df.select(*columns)
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True) -> DataFrame:
     """A table by its path's suffix: parquet, orc, jsonl, json (one document), csv and tsv, also gzipped, xml, otherwise lines of text."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     kind = path.lower().removesuffix(".gz").rpartition(".")[2]
     if kind in ("parquet", "orc"):
-        return reader.format(kind).load(path)
+        df = reader.format(kind).load(path)
+        if provenance(df) and not _exists(spark, path + BESIDE):
+            warnings.warn(f"provenance in the footer, but none beside the table: {path}", stacklevel=2)
+        return df
     if kind in ("jsonl", "ndjson"):
         return reader.json(path)
     if kind == "json":
@@ -128,9 +160,19 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
 
 
 def write(df: DataFrame, path: str, mode: str = "error", **provenance: Any) -> None:
-    """A table in the format of its suffix (Parquet without one); provenance goes into column-free metadata beside it as ``<path>.provenance.json``."""
+    """A table in the format of its suffix (Parquet without one).
+
+    Provenance, and when, with which columns and how many rows it was written, goes into
+    ``<path>.provenance.json`` beside it, and but for the rows, which are counted while
+    they are written, into the footers of Parquet files, as metadata of the columns.
+    """
     kind = path.lower().removesuffix(".gz").rpartition(".")[2]
-    writer = df.write.mode(mode)
+    record = None
+    if provenance:
+        record = {"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.simpleString(), "columns": df.columns, **{k: v for k, v in provenance.items() if v is not None}}
+    seen = Observation()
+    out = with_provenance(df, record)
+    writer = (out.observe(seen, F.count(F.lit(1)).alias("rows")) if record else out).write.mode(mode)
     if kind in ("jsonl", "ndjson", "json"):
         writer.json(path)
     elif kind in ("csv", "tsv"):
@@ -139,10 +181,9 @@ def write(df: DataFrame, path: str, mode: str = "error", **provenance: Any) -> N
         writer.orc(path)
     else:
         writer.parquet(path)
-    if provenance:
-        record = {"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.simpleString(), **{k: v for k, v in provenance.items() if v is not None}}
-        spark = df.sparkSession
-        spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(path + ".provenance.json")
+    if record:
+        record["rows"] = seen.get["rows"]
+        df.sparkSession.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(path + BESIDE)
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -160,16 +201,19 @@ def first_column(df: DataFrame, *names: str, default: Any = None):
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends the rows whose key the table at ``path`` lacks; so a stopped job can be run again. Returns the rows written."""
+    """Appends the rows whose key the table at ``path`` lacks; so a stopped job can be run again. Returns the rows written.
+
+    Of the table only keys are read, and of these only those that ``df`` has are kept and
+    joined; rows are counted while they are written.  For a stream see ``incremental.ingest``,
+    which doesn't read what is there.
+    """
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if there:
-        known = spark.read.parquet(path).select(*keys).distinct()
-        df = df.join(known, list(keys), "left_anti")
-        before = spark.read.parquet(path).count()
-    df.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - (before if there else 0)
+    if _exists(spark, path):
+        there = spark.read.parquet(path).select(*keys).join(df.select(*keys).distinct(), list(keys), "left_semi")
+        df = df.join(there.distinct(), list(keys), "left_anti")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return seen.get["rows"]
 
 
 def within_envelope(df: DataFrame, date_column: str, dates: DataFrame, other: str, days: int = 30) -> DataFrame:

@@ -35,20 +35,21 @@ def sessions(df: DataFrame, column: str, gap: str, keys: Sequence[str], *aggrega
     return out.select(F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), *[c for c in out.columns if c != "_s"])
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], transform: Callable[[DataFrame], DataFrame] | None = None):
-    """Appends each micro-batch's rows of new keys to a Parquet table: a rerun after a failure adds nothing twice. Returns the running query.
-
-    The batch's number is part of the folder it writes to, so that a repeated batch overwrites itself.
+def ingest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], transform: Callable[[DataFrame], DataFrame] | None = None, within: tuple[str, str] | None = None):
+    """Appends a stream's rows of new keys to a Parquet table: a rerun after a failure adds nothing twice. Returns the running query.
+
+    Keys that were seen are the stream's state, dealt out by their hash and kept with the
+    checkpoint, so that a batch reads its own rows and the state of their keys, never the
+    table.  What the table holds from elsewhere isn't known to it.  State grows with the
+    keys, unless ``within`` (event time, delay) lets it forget keys older than the delay:
+    then a key that returns later is new.  ``transform`` applies to the stream.  The
+    batch's number is part of the folder that it writes to, so that a repeated batch
+    overwrites itself; the state goes back to before it, too.
     """
+    out = transform(stream) if transform else stream
+    out = with_event_time(out, *within).dropDuplicatesWithinWatermark(list(keys)) if within else out.dropDuplicates(list(keys))
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        out = transform(batch) if transform else batch
-        out = out.dropDuplicates(list(keys))
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            there = spark.read.parquet(path).where(F.col("_batch") != number).select(*keys)
-            out = out.join(there.distinct(), list(keys), "left_anti")
-        out.write.mode("overwrite").parquet(f"{path}/_batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
