@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import jaccard, normalize_text
-from weftline.operators import align, evaluate, ledger, linking, ranking
+from weftline.operators import align, chains, evaluate, ledger, linking, ranking
 from weftline.operators.aggregates import edge_weights, idf_weights
 from weftline.plans.base import query, table, tokens, tokens_sql
 from weftline.plans.series_queries import DAILY, daily
@@ -284,6 +284,36 @@ def chain_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.chain_sessions(sessions, own, "chain")
 
 
+def _chain_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Fifty conversations as a chain of sessions, and their cells; pinned, blocked and rejected pairs are the best overlap of some."""
+    cells, sizes = _cells(spark, sf_dir)
+    w = Window.partitionBy("chain").orderBy("conv_id")
+    rows = sizes.withColumn("chain", F.floor(F.col("conv_id") / 50)).withColumn("start", F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sessions = rows.select("chain", F.col("conv_id").alias("session"), F.col("conv_id").alias("rank"), "n", "m", "start")
+    own = cells.select(F.col("conv_id").alias("session"), "i", "j", F.col("score").alias("overlap"))
+    best = own.groupBy("session").agg(F.max(F.struct("overlap", "i", "j")).alias("x")).select("session", "x.i", "x.j")
+    some = [best.where(F.col("session") % 9 == k) for k in (2, 5, 8)]
+    return sessions, own, *some
+
+
+@query()
+def session_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations aligned along their chains, with pinned, blocked and rejected pairs."""
+    return chains.align_chains(*_chain_tables(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS correct, count(*) FILTER (toxic = 1) AS false_positive, count(*) FILTER (quality = 0 AND toxic = 0) AS uncertain FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT *, coalesce(round(correct / nullif(correct + false_positive + uncertain, 0), 4), 0) AS precision FROM c)
+SELECT source, correct, false_positive, uncertain, precision, row_number() OVER (ORDER BY precision DESC, source) AS rank, precision >= 0.65 AS locked FROM p
+""")
+def session_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources ranked by the share of their labelled documents that are good and not toxic."""
+    labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    verdict = F.when(F.col("toxic") == 1, "false_positive").when((F.col("quality") == 1) & (F.col("toxic") == 0), "correct").when((F.col("quality") == 0) & (F.col("toxic") == 0), "uncertain")
+    return chains.rank_sessions(labelled.withColumn("verdict", verdict), "source", "verdict").drop("mean_margin")
+
+
 @query(f"""
 WITH d AS (SELECT day, n_items AS k_e, greatest(n_slots, 1) AS axis FROM {DAILY}),
 a AS (SELECT day, k_e, axis, 1 AS e, axis // 2 AS a FROM d WHERE k_e > 2 UNION ALL SELECT day, k_e, axis, 3, axis // 3 FROM d WHERE k_e > 4),
