@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import fuzzy, text
-from weftline.operators import classify, dictionary
+from weftline.operators import classify, dictionary, keyword_index
+from weftline.operators.ordered import shared_folder
 from weftline.plans.base import query, table, tokens, tokens_sql
 from weftline.sources import markup
 
@@ -106,13 +109,16 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", classify.rule_class(F.col("text"), _CLASSES, "prose").alias("class"))
 
 
-@query("""
+_KWIC = """
 WITH t AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS token FROM (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS ws FROM documents)),
 c AS (SELECT doc_id, pos, token,
     coalesce(string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS left_context,
     coalesce(string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS right_context FROM t)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, token AS keyword, left_context, right_context FROM c WHERE regexp_matches(lower(token), '^licen')
-""")
+"""
+
+
+@query(_KWIC)
 def kwic_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.kwic_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda w: F.lower(w).rlike("^licen"))
 
@@ -250,3 +256,42 @@ def confirmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = items.select("item_id", F.substring_index("text", " ", 3).alias("name"))
     out = dictionary.confirm_names(shortlist, docs, names, "doc_id", "text", "item_id", "name", threshold=75)
     return out.withColumn("match_score", F.round("match_score", 6))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """Where documents were just indexed."""
+    path = f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}"
+    keyword_index.add_texts(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return path
+
+
+@query(_KWIC)
+def kwic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As kwic_context, from an index of keywords: the vocabulary says which terms are meant, their folders where they stand."""
+    path = _index(spark, sf_dir)
+    terms = keyword_index.vocabulary(spark, path).where("term LIKE 'licen%'")
+    return keyword_index.in_context(keyword_index.find(spark, path, terms), table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""
+WITH w AS (SELECT doc_id, lower(unnest(string_split_regex(trim(text), '\\s+'))) AS term FROM documents), v AS (SELECT DISTINCT term FROM w WHERE term <> ''),
+n AS (SELECT unnest(['license', 'copyright', 'password']) AS needle), a AS (SELECT needle, term, 1 - levenshtein(needle, term) / greatest(length(needle), length(term)) AS s FROM n, v WHERE 1 - levenshtein(needle, term) / greatest(length(needle), length(term)) >= 0.7)
+SELECT needle, term, round(s, 6) AS similarity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM a JOIN w USING (term) GROUP BY ALL
+""")
+def kwic_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of terms up to spelling, from the index."""
+    needles = spark.createDataFrame([(w,) for w in ("license", "copyright", "password")], "needle string")
+    hits = keyword_index.find_similar(spark, _index(spark, sf_dir), needles, "needle", 0.7)
+    return hits.groupBy("needle", "term", F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"))
+
+
+@query("""
+WITH w AS (SELECT lower(unnest(string_split_regex(trim(text), '\\s+'))) AS term FROM documents), c AS (SELECT CASE WHEN term LIKE 'licen%' THEN 'licence' WHEN term LIKE 'copy%' THEN 'copyright' WHEN regexp_matches(term, '^[0-9]+[.,]?$') THEN 'number' ELSE 'other' END AS category FROM w WHERE term <> '')
+SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, category <> 'other' AS classified FROM c GROUP BY category
+""")
+def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of all words the classes of keywords cover, by the index's vocabulary."""
+    term = F.col("term")
+    category = F.when(term.like("licen%"), "licence").when(term.like("copy%"), "copyright").when(term.rlike("^[0-9]+[.,]?$"), "number").otherwise("other")
+    words = keyword_index.vocabulary(spark, _index(spark, sf_dir)).withColumn("category", category)
+    return keyword_index.coverage_report(words, weight="n").withColumn("share", F.round("share", 6))

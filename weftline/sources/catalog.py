@@ -200,19 +200,19 @@ def first_column(df: DataFrame, *names: str, default: Any = None):
     return F.coalesce(*have, F.lit(default)) if have else F.lit(default)
 
 
-def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends the rows whose key the table at ``path`` lacks; so a stopped job can be run again. Returns the rows written.
+def append_new(df: DataFrame, path: str, keys: Sequence[str], by: Sequence[str] = ()) -> int:
+    """Appends the rows whose key the table at ``path`` lacks (without keys all rows), in folders ``by`` columns; so a stopped job can be run again. Returns the rows written.
 
     Of the table only keys are read, and of these only those that ``df`` has are kept and
     joined; rows are counted while they are written.  For a stream see ``incremental.ingest``,
     which doesn't read what is there.
     """
     spark = df.sparkSession
-    if _exists(spark, path):
+    if keys and _exists(spark, path):
         there = spark.read.parquet(path).select(*keys).join(df.select(*keys).distinct(), list(keys), "left_semi")
         df = df.join(there.distinct(), list(keys), "left_anti")
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*by).parquet(path)
     return seen.get["rows"]
 
 
