@@ -1,6 +1,7 @@
 """Names in texts: both ways against all pairs, and the partial ratio against all windows."""
 
 import random
+import re
 
 import pytest
 
@@ -67,8 +68,11 @@ def test_confirmed_names(spark):
 def test_confirmed_names_query_is_that_of_all_windows(spark):
     smoke = "/root/testdata/sf0.001"
     got = {(r.doc_id, r.item_id): r for r in registry.QUERIES["confirmed_names"](spark, smoke).collect()}
-    docs = {r.doc_id: r.text.lower() for r in spark.read.parquet(f"{smoke}/documents.parquet").collect() if r.text}
-    names = {r.item_id: " ".join(r.text.split(" ")[:3]).lower() for r in spark.read.parquet(f"{smoke}/benchmark.parquet").collect() if r.text}
-    assert got
-    for (d, i), r in list(sorted(got.items()))[:20]:
-        assert r.match_score == pytest.approx(_partial(names[i], docs[d]), abs=1e-6)
+    docs, items = ({r[0]: r.text.lower() for r in spark.read.parquet(f"{smoke}/{t}.parquet").select(k, "text").collect() if r.text} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    words = [{k: {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t) if len(w) >= 12} for k, t in side.items()} for side in (docs, items)]
+    want = {}
+    for d, text in docs.items():
+        for i, item in items.items():
+            if words[0][d] & words[1][i] and (score := fuzzy.partial_ratio(" ".join(item.split(" ")[:3]), text)) >= 75:
+                want[d, i] = pytest.approx(score, abs=1e-6)
+    assert {k: r.match_score for k, r in got.items()} == want and want
