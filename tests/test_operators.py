@@ -158,6 +158,15 @@ def test_brackets_segments_and_stitching(spark):
     assert [(r.g, r.t, r.n_fragments) for r in out] == [(1, "ende so", 1), (1, "Ontfangen een missive ende gelesen", 2), (2, "", 1)]
 
 
+def test_jaccard_best_takes_equal_shares_for_ties(spark):
+    # 10/19 less 0.15 and 17/38 are equal but for the last bits; 2/17 less 0.15 isn't above 0.1; 157/256 less 0.15 is 0.5212890625, just below in doubles
+    pairs = spark.createDataFrame([(1, 9, 10, 19, 1), (1, 5, 17, 38, 0), (1, 7, 17, 38, 0), (2, 1, 2, 17, 1), (3, 1, 157, 256, 1)], "a int, b int, k int, n int, d int")
+    got = linking.jaccard_best(pairs, "a", "b", F.col("k") / F.col("n"), F.col("d")).collect()
+    assert sorted((r.a, r.b, r.score) for r in got) == [(1, 5, 0.447368421), (3, 1, 0.521289062)]
+    reversed_ties = pairs.withColumn("b", -F.col("b"))
+    assert {r.a: r.b for r in linking.jaccard_best(reversed_ties, "a", "b", F.col("k") / F.col("n"), F.col("d")).collect()} == {1: -9, 3: -1}
+
+
 def test_gap_placement():
     assert align.best_positions(1, 10, 2) == [4, 7]
     assert align.best_positions(0, 10, 1, {6: 1.0}) == [6]

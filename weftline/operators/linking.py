@@ -187,10 +187,18 @@ def ranked_sessions(pairs: DataFrame, row: str, session: str, overlap: str, simi
     return out.select(row, "ranked", top["session"].alias("top_session"), (-top["negative"]).alias("top_score"), top["low_confidence"].alias("low_confidence"))
 
 
-def jaccard_best(pairs: DataFrame, left_key: str, right_key: str, score: Column, day_diff: Column, least: float = 0.1) -> DataFrame:
-    """Each left row's best partner by score less a penalty for days apart (0, 0.15 for one, 0.5 beyond), if above ``least``."""
+def half_up(x: Column, digits: int) -> Column:
+    """A value of at least 0 rounded to digits as SQL engines round doubles: scaled, a half added, and cut; not by the decimal form that is printed."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def jaccard_best(pairs: DataFrame, left_key: str, right_key: str, score: Column, day_diff: Column, least: float = 0.1, digits: int = 9) -> DataFrame:
+    """Each left row's best partner by score less a penalty for days apart (0, 0.15 for one, 0.5 beyond), if above ``least``; ties to the smaller right key.
+
+    Scores are compared to ``digits`` digits, so that shares which are equal but for the last bits are ties.
+    """
     penalty = F.when(F.abs(day_diff) == 0, 0.0).when(F.abs(day_diff) == 1, 0.15).otherwise(0.5)
-    scored = pairs.withColumn("score", score * (1 - penalty)).where(F.col("score") > least)
+    scored = pairs.withColumn("score", half_up(score * (1 - penalty), digits)).where(F.col("score") > least)
     return top_k(scored, [left_key], 1, "score", right_key).drop("rank")
 
 

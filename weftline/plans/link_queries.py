@@ -154,8 +154,8 @@ def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     dc, bc = d.groupBy("doc_id").agg(F.count("*").alias("nd")), b.groupBy("item_id").agg(F.count("*").alias("nb"))
     pairs = b.join(d, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("k")).join(dc, "doc_id").join(bc, "item_id")
     share = F.col("k") / (F.col("nd") + F.col("nb") - F.col("k"))
-    best = linking.jaccard_best(pairs, "item_id", "doc_id", F.round(share, 12), F.abs(F.col("item_id") - F.col("doc_id")) % 3)
-    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    best = linking.jaccard_best(pairs, "item_id", "doc_id", share, F.abs(F.col("item_id") - F.col("doc_id")) % 3)
+    return best.select("item_id", "doc_id", linking.half_up(F.col("score"), 6).alias("score"))
 
 
 @query("""
