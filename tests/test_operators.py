@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -185,6 +186,41 @@ def test_gap_placement():
         assert value(got) == pytest.approx(best) and got == sorted(got)
 
 
+def _best_positions_by_table(low, high, count, scores, dispersion):
+    """The programme over items and positions in full."""
+    positions = range(low, max(low, high - 1) + 1)
+    best, chosen = [0.0] * len(positions), []
+    for rank in range(1, count + 1):
+        value = [b + 3 * scores.get(p, 0.0) - dispersion * abs(p - (low + rank * (high - low) // (count + 1))) for b, p in zip(best, positions, strict=True)]
+        best, row = [], []
+        for k, v in enumerate(value):
+            fresh = k == 0 or v > best[-1]
+            best.append(v if fresh else best[-1])
+            row.append(k if fresh else row[-1])
+        chosen.append(row)
+    at, out = len(positions) - 1, []
+    for row in reversed(chosen):
+        at = row[at]
+        out.append(positions[at])
+    return out[::-1]
+
+
+def test_gap_placement_needs_no_table():
+    rng = random.Random(5)
+    for _ in range(1500):
+        low, span, count = rng.randint(0, 3), rng.randint(0, 25), rng.randint(1, 9)
+        scores = {p: rng.choice([-1, -0.5, 0.5, 1, 2.5]) for p in range(low - 1, low + span + 2) if rng.random() < 0.4}
+        dispersion = rng.choice([0.0, 0.5, 1.0])
+        assert align.best_positions(low, low + span, count, scores, dispersion=dispersion) == _best_positions_by_table(low, low + span, count, scores, dispersion)
+    tracemalloc.start()
+    try:
+        placed = align.best_positions(0, 20_000, 2_000, {k: 1.0 for k in range(0, 20_000, 9)})
+        # the table of items by positions has 320 MB
+        assert len(placed) == 2_000 and tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_day_placement(spark):
     groups = spark.createDataFrame([("a", 4, 12), ("b", 1, 5), ("c", 4, 10), ("d", 3, 2)], "g string, k_e int, axis int")
     anchors = spark.createDataFrame([("a", 3, 10), ("c", 1, 6), ("c", 2, 2), ("c", 9, 1), ("d", 1, 7)], "g string, e int, a int")

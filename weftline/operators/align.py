@@ -245,23 +245,32 @@ def best_positions(low: int, high: int, count: int, scores: dict[int, float] | N
     """``count`` non-decreasing positions from ``low`` up to before ``high`` that earn most: evidence less the distance from an even split.
 
     Of equal placements the last item goes to the earliest position, then the one before it.
+
+    An item that is due later never gains more by going back than one due before it, so
+    each item's own earliest best position is in order already, and no table of items by
+    positions is needed.  Of positions up to where an item is due the best is that of the
+    largest bonus + dispersion * position, of those from there on that of the largest
+    bonus - dispersion * position: two running maxima serve all items.
     """
+    if dispersion < 0:
+        raise ValueError("items can't be rewarded for distance")
     if count <= 0:
         return []
-    positions = np.arange(low, max(low, high - 1) + 1)
-    bonus = phrase * np.array([(scores or {}).get(int(p), 0.0) for p in positions])
-    best, chosen = np.zeros(len(positions)), []
-    for rank in range(1, count + 1):
-        value = best + bonus - dispersion * np.abs(positions - (low + rank * (high - low) // (count + 1)))
-        top = np.maximum.accumulate(value)
-        fresh = np.concatenate(([True], value[1:] > top[:-1]))
-        chosen.append(np.maximum.accumulate(np.where(fresh, np.arange(len(positions)), 0)))
-        best = top
-    at, out = len(positions) - 1, []
-    for rank in range(count - 1, -1, -1):
-        at = int(chosen[rank][at])
-        out.append(int(positions[at]))
-    return out[::-1]
+    size = max(low, high - 1) + 1 - low
+    bonus, places = np.zeros(size), np.arange(size)
+    for p, score in (scores or {}).items():
+        if 0 <= p - low < size:
+            bonus[p - low] = phrase * score
+    rising, falling = bonus + dispersion * places, (bonus - dispersion * places)[::-1]
+    top = np.maximum.accumulate(rising)
+    before = np.maximum.accumulate(np.where(np.concatenate(([True], rising[1:] > top[:-1])), places, 0))
+    # from the end an equal value is an earlier position, and so the better one
+    top = np.maximum.accumulate(falling)
+    after = size - 1 - np.maximum.accumulate(np.where(np.concatenate(([True], falling[1:] >= top[:-1])), places, 0))[::-1]
+    due = np.arange(1, count + 1) * (high - low) // (count + 1)
+    at = np.clip(due, 0, size - 1)
+    value = lambda k: bonus[k] - dispersion * np.abs(k - due)
+    return (low + np.where(value(before[at]) >= value(after[at]), before[at], after[at])).tolist()
 
 
 def place_with_evidence(gaps: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:

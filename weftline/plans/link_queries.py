@@ -334,7 +334,7 @@ def gap_dp_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days' items placed among their line items, drawn to positions with large quantities."""
     d = daily(spark, sf_dir).where("n_items > 1 and n_slots > 0").select("day", F.lit(0).alias("low"), F.col("n_slots").cast("int").alias("high"), (F.col("n_items") - 1).cast("int").alias("count"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    k = F.row_number().over(Window.partitionBy("day").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    k = F.row_number().over(Window.partitionBy("day").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1
     evidence = lines.select("day", k.alias("position"), F.when(F.col("l_quantity") > 45, 1.0).otherwise(0.0).alias("score")).where("score > 0")
     return align.place_with_evidence(d, evidence.join(d.select("day"), "day", "left_semi"), ["day"])
 
