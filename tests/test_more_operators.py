@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import classifiers
-from weftline.operators import aggregates, align, classify, evaluate, joins, ledger, linking, ranking, sequences, training
+from weftline.operators import aggregates, align, classify, evaluate, joins, ledger, linking, ordered, ranking, sequences, training
 from weftline.sources import catalog, markup
 
 D = dt.date(1626, 1, 1)
@@ -239,3 +239,26 @@ def test_more_evaluation(spark):
     reason = evaluate.loss_reason(F.col("s"), F.col("x"), F.col("n"))
     rows = spark.createDataFrame([(None, 1, 1), (1, 1, 2), (1, 9, 1), (1, 1, 1)], "s int, x int, n int").select(reason.alias("r")).collect()
     assert [r.r for r in rows] == ["unplaced", "shared_start", "extent", None]
+
+
+def test_order_agreement_is_the_same_in_place_and_by_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(g, rng.choice("AR"), rng.choice([None, *range(5)]), rng.choice([None, *range(9)])) for g in (*range(40), None) for _ in range(rng.choice([1, 2, 3, 6, 30]))]
+    order = spark.createDataFrame(rows, "g int, band string, x int, y int")
+    read = lambda: sorted(((str(r.g), r.band, r.pairs, r.tau, r.control_tau) for r in evaluate.order_agreement(order, ["g"], "band", "x", "y").collect()), key=str)
+    in_place = read()
+    # all but the groups of one row by ranges, and some of each
+    for most in (1, 4):
+        monkeypatch.setattr(evaluate, "SMALL_GROUP", most)
+        assert read() == in_place and len(in_place) > 30
+
+
+def test_order_agreement_of_small_groups_writes_nothing_on_the_way(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a checkpoint")
+
+    for module in (aggregates, ordered, evaluate):
+        monkeypatch.setattr(module, "cut", never, raising=False)
+    order = spark.createDataFrame([(g, "b", k, -k) for g in range(9) for k in range(6)], "g int, band string, x int, y int")
+    got = evaluate.order_agreement(order, ["g"], "band", "x", "y")
+    assert {(r.pairs, r.tau) for r in got.collect()} == {(15, -1.0)} and got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
