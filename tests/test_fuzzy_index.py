@@ -59,6 +59,18 @@ def test_no_pair_by_token_set_ratio_is_lost(spark, threshold):
     assert got == pytest.approx(want) and want
 
 
+def test_few_phrases_make_no_row_of_a_character(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["de", "raad", "van", "state", "é😀", "a", "geresolveert"]
+    texts = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(20)], "k int, t string")
+    phrases = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))),) for _ in range(20)], "p string")
+    read = lambda: classify.phrase_hits(texts, "k", "t", phrases, "p")
+    few = read()
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    monkeypatch.setattr(fuzzy_index, "FEW_PHRASES", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, read().collect())) and not few.isEmpty()
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.85])
 def test_no_phrase_is_lost_and_places_are_right(spark, threshold):
     rng = random.Random(int(threshold * 100))

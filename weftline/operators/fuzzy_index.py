@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,6 +133,97 @@ def _words_of(context: int):
     return F.pandas_udf(run, "array<struct<word_start:int,start:int,size:int,context:string>>")
 
 
+#: Up to so many phrases, of so many characters in all, every task has them all; more are joined by their segments.
+FEW_PHRASES, FEW_CHARACTERS = 1 << 15, 1 << 21
+#: Classes of characters that are counted, and places that are compared at a time.
+_CLASSES, _AT_ONCE = 32, 1 << 16
+
+
+def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` characters."""
+    out = np.zeros(max(0, len(codes) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)] + np.uint64(1)
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the numbers first[k], first[k] + 1, .. of which there are n[k]: their k, and they themselves."""
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _windows_like(phrases: list[str], segments: list[tuple[int, int, int, str]], threshold: float):
+    """Of a text the windows that may be one of ``phrases`` up to spelling: all that hold a segment (phrase, place, edits, characters) where edits allow it, and whose length and characters allow it, too."""
+    sizes = np.array([len(p) for p in phrases])
+    counts = np.array([p.count(" ") + 1 for p in phrases])
+    bags = np.stack([np.bincount((_codes(p) % _CLASSES).astype(int), minlength=_CLASSES) for p in phrases])
+    by_size: dict[int, list[tuple[int, int, int, int]]] = {}
+    for p, at, edits, part in segments:
+        by_size.setdefault(len(part), []).append((int(_rolling(_codes(part), len(part))[0]), p, at, edits))
+    tables = []
+    for size, rows in sorted(by_size.items()):
+        rows.sort()
+        hashes, first, n = np.unique(np.array([r[0] for r in rows], dtype=np.uint64), return_index=True, return_counts=True)
+        tables.append((size, hashes, first, n, *np.array([r[1:] for r in rows]).T))
+
+    def read(text: str) -> list[dict]:
+        codes = _codes(text)
+        blanks = np.flatnonzero(codes == 32)
+        starts, ends = np.concatenate(([0], blanks + 1)), np.append(blanks, len(codes))
+        # characters before each word, by class
+        place = np.searchsorted(starts, np.arange(len(codes)), side="right")
+        before = np.zeros((len(starts) + 1, _CLASSES), dtype=np.int32)
+        np.add.at(before, (place, (codes % _CLASSES).astype(int)), 1)
+        before = np.cumsum(before, axis=0, dtype=np.int32)
+        seen = []
+        for size, hashes, first, n, phrase, at, edits in tables:
+            own = _rolling(codes, size)
+            slot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[slot] == own)
+            if not len(hit):
+                continue
+            total = np.cumsum(n[slot[hit]])
+            for part in np.split(hit, np.searchsorted(total, np.arange(_AT_ONCE, total[-1], _AT_ONCE))):
+                k, entry = _spread(first[slot[part]], n[slot[part]])
+                begin, who = part[k] - at[entry], phrase[entry]
+                low, high = np.searchsorted(starts, begin - edits[entry]), np.searchsorted(starts, begin + edits[entry], side="right")
+                k, word = _spread(low, high - low)
+                who = who[k]
+                fits = word + counts[who] <= len(starts)
+                who, word = who[fits], word[fits]
+                last = word + counts[who] - 1
+                length = ends[last] - starts[word]
+                longer = np.maximum(length, sizes[who])
+                near = np.abs(length - sizes[who]) <= longer * (1 - threshold) + _EPS
+                pair = np.unique(who[near] * len(starts) + word[near])
+                who, word = pair // len(starts), pair % len(starts)
+                last = word + counts[who] - 1
+                longer = np.maximum(ends[last] - starts[word], sizes[who])
+                # the blank after the last word is counted with it, but at a text's end
+                bag = before[last + 1] - before[word]
+                bag[:, 32 % _CLASSES] -= last + 1 < len(starts)
+                bag = bag - bags[who]
+                apart = np.maximum(np.maximum(bag, 0).sum(axis=1), np.maximum(-bag, 0).sum(axis=1))
+                seen.append(pair[apart <= longer * (1 - threshold) + _EPS])
+        found = np.unique(np.concatenate(seen)).tolist() if seen else []
+        out = []
+        for pair in found:
+            who, word = divmod(pair, len(starts))
+            a, b = int(starts[word]), int(ends[word + counts[who] - 1])
+            out.append({"phrase": phrases[who], "word_start": word, "start": a, "window": text[a:b]})
+        return out
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([read(text) for text in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<phrase:string,word_start:int,start:int,window:string>>")
+
+
 def phrase_windows(rows: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, threshold: float = 0.85) -> DataFrame:
     """key, phrase, word_start, start, end, similarity: all windows of as many words as a phrase whose Levenshtein similarity with it reaches the threshold.
 
@@ -140,6 +232,8 @@ def phrase_windows(rows: DataFrame, key: str, text: str, phrases: DataFrame, phr
     hits; rows that repeat a key and a text count once.  A phrase is cut into one segment
     more than a window so alike can have edits; the beginnings of the segments are looked
     up among the texts' characters, and windows that can hold them there are measured.
+    Up to FEW_PHRASES phrases go to all tasks, where texts are searched in place; more
+    are joined with the characters of the texts.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above one half, and one at most")
@@ -149,10 +243,19 @@ def phrase_windows(rows: DataFrame, key: str, text: str, phrases: DataFrame, phr
     most = F.floor(F.floor(n / threshold + _EPS) * (1 - threshold) + _EPS).cast("int")
     cut = p.select("phrase", F.size(F.split("phrase", " ")).alias("_words"), n.alias("_n"), most.alias("_k"), F.explode(_segments(n, most)).alias("_x"))
     cut = cut.select("phrase", "_words", "_n", "_k", F.col("_x.at").alias("_at"), F.expr(f"substring(phrase, _x.at + 1, least(_x.size, {PART}))").alias("_part"))
+    normal = rows.select(F.col(key).alias("_key"), normalize_text(text).alias("_text")).where("_text <> ''").distinct()
+    amount = p.agg(F.count("*").alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("characters")).first()
+    if 0 < amount.n <= FEW_PHRASES and amount.characters <= FEW_CHARACTERS:
+        few = cut.select("phrase", "_k", "_at", "_part").collect()  # bounded by both limits
+        names = sorted({r["phrase"] for r in few})
+        number = {name: k for k, name in enumerate(names)}
+        like = _windows_like(names, [(number[r["phrase"]], r["_at"], r["_k"], r["_part"]) for r in few], threshold)
+        met = normal.select("_key", F.explode(like("_text")).alias("_w")).select("_key", "_w.*").withColumn("similarity", levenshtein_similarity("window", "phrase"))
+        met = met.where(F.col("similarity") >= threshold)
+        return met.select(F.col("_key").alias(key), "phrase", "word_start", "start", (F.col("start") + F.length("window")).alias("end"), "similarity").distinct()
     about = cut.agg(F.max("_n").alias("longest"), F.collect_set(F.length("_part")).alias("sizes")).first()  # PART sizes at most
     longest = math.floor((about.longest or 0) / threshold + _EPS) + 1
 
-    normal = rows.select(F.col(key).alias("_key"), normalize_text(text).alias("_text")).where("_text <> ''").distinct()
     words = normal.select("_key", F.xxhash64("_text").alias("_row"), F.explode(_words_of(longest)("_text")).alias("_w")).select("_key", "_row", "_w.*")
     each = words.select("_key", "_row", "start", "context", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("_c"))
     parts = F.array(*[F.expr(f"substring(context, _c + 1, {size})") for size in sorted(about.sizes)]) if about.sizes else F.array(F.lit(""))
