@@ -7,8 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from weftline.llm import centroids, ppm, source_audit
 
@@ -160,6 +162,40 @@ def test_audit_of_nothing_and_with_clashing_names(spark):
     assert sorted(map(tuple, got.collect())) == sorted(_plain_audit([r[:3] for r in rows]))
 
 
+def test_audit_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def through(text):
+        read.add(1)
+        return text
+
+    rows = [(f"alpha beta w{'xyz'[i % 3]}", "de", "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").withColumn("text", F.udf(through)("text"))
+    assert sorted(map(tuple, source_audit.audit(docs).collect())) == sorted(_plain_audit(rows))
+    assert read.value == len(rows)
+
+
+def test_terms_are_counted_alike_in_chunks_of_any_size(monkeypatch):
+    monkeypatch.setattr(source_audit, "BATCH", 3)
+    texts = ["", "a", "Ab9ab", "b\x00É猫", "猫 𝔘Z", "  ", "ab", "ab AB a", "\n", "é", "tail"]
+    rows = [(["de", ""][i % 2], ["s", "", "t"][i % 3], texts[i * i % 11]) for i in range(70)]
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", _lower(text))
+        n.update((lang, source, t) for t in found)
+        docs.update((lang, source, t) for t in set(found))
+    whole = pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["lang", "source", "text"])
+    for most in (1, 40, 300, 10**6):
+        chunks = list(source_audit._chunks(iter([whole.slice(0, 33), whole.slice(33, 0), whole.slice(33)]), most))
+        assert [r for c in chunks for r in c.to_pylist()] == whole.to_pylist()
+        got = [r for c in chunks for part in source_audit.counted(c) for r in part.to_pylist()]
+        for expected, column in ((n, "n"), (docs, "docs")):
+            total = Counter()
+            for r in got:
+                total[r["lang"], r["source"], r["term"]] += r[column]
+            assert total == expected
+
+
 def test_audit_counts_beyond_64_bits(spark):
     p = spark.createDataFrame([(10**13, 3 * 10**13, 5)], "n long, total long, terms long").select(source_audit._share("n", "total", "terms").alias("p")).first().p
     assert p == 1 + 10**9 * (10**13 + 2) // (3 * 10**13 + 10)

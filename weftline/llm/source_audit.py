@@ -1,24 +1,106 @@
 """Divergence of sources within each language: relational from the terms of whole texts to ranks.
 
-Terms (runs of ASCII letters and characters beyond ASCII) are exploded, counted by group before they are shuffled, and compared as
+Terms (runs of ASCII letters and characters beyond ASCII) are taken out of some megabytes of text at a time and counted there by
+group, so that only counts are shuffled, and compared as
 integer shares of each group: every group of a language gives every kept term, and
 groups of one language meet term by term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import materialised, picked, salted_join
+from weftline.llm.shared import give_back, map_batches, materialised, picked, salted_join
 
-#: What ends a term: runs of ASCII characters other than letters.  Splitting there gives all matches of the complement in
-#: one pass over a text; extracting them copies the text for each match.
+#: What ends a term: runs of ASCII characters other than letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text counted at once, more only for one longer text; what a row counts for besides; rows of counts in a batch.
+CHUNK, ROW, BATCH = 16 << 20, 32, 1 << 16
 #: Documents of a language that a term must be in, terms reported for a group, and what shares are out of.
 LEAST, TOP, WHOLE = 10, 10, 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: For each byte what it is in a term: letters lower-cased, bytes beyond ASCII as they are, 0 for what ends one.
+_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in range(256)], dtype=np.uint8)
+_COUNTS = "lang string, source string, term string, n long, docs long"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, dealt anew into batches of at most ``most`` bytes of text, each row with ROW more, or of one row."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64) + ROW)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + most - size, "right"))
+            if to <= at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - before)
+            if to < len(ends):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            at = max(at, to)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _terms(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts in their order, and how many each text has."""
+    text = text.cast(pa.large_binary())
+    _, ends, data = text.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letters = _BYTES[data]
+    inside = letters != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    opens = ends[:-1][ends[:-1] < len(data)]
+    first[opens] = inside[opens]
+    per_text = np.diff(np.searchsorted(np.flatnonzero(first), ends))
+    letters = letters[inside]
+    starts = np.append(np.flatnonzero(first[inside]), len(letters)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)]), per_text
+
+
+def counted(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of each lang, source and term in rows of lang, source and text: how often it occurs (n), and in how many rows (docs)."""
+    terms, per_text = _terms(rows["text"])
+    coded = terms.dictionary_encode()
+    langs, sources = (rows[c].dictionary_encode() for c in ("lang", "source"))
+    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    # rows numbered by group, so that a sorted number of term and row has the terms of each group side by side
+    order = np.argsort(group, kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    seen = coded.indices.to_numpy().astype(np.int64) * len(order) + np.repeat(number, per_text)
+    seen.sort()
+    once = np.flatnonzero(np.diff(seen, prepend=-1))
+    term, row = np.divmod(seen[once], max(1, len(order)))
+    group = group[order][row]
+    new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    lang, source = np.divmod(group[new], max(1, len(sources.dictionary)))
+    n, docs = np.diff(once[new], append=len(seen)), np.diff(new, append=len(once))
+    for at in range(0, len(new), BATCH):
+        part = slice(at, at + BATCH)
+        names = langs.dictionary.take(pa.array(lang[part])), sources.dictionary.take(pa.array(source[part])), coded.dictionary.take(pa.array(term[new[part]]))
+        yield pa.record_batch([*names, pa.array(n[part]), pa.array(docs[part])], names=["lang", "source", "term", "n", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _chunks(batches, CHUNK):
+        yield from counted(rows)
+    give_back()
+
 
 def _share(n: str, total: str, terms: str) -> Column:
     """1 + floor(WHOLE * (n + 2) / (total + 2 * terms)), exactly: counts of the largest corpora exceed 64 bits once multiplied."""
@@ -44,24 +126,24 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     source has no pairs; no rows give no rows.  Other columns are ignored, whatever their
     names.
 
-    Counts are summed before each shuffle, so hot sources and langs don't stand out; a
+    Each text is read once.  Counts are summed before each shuffle, so hot sources and langs don't stand out; a
     lang's groups meet its terms in shares of bounded size, and groups meet each other
     term by term, each pair once.
     """
     rows = picked(docs, text=text_column, lang=lang_column, source=source_column).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = materialised(rows.select("lang", "source").distinct(), "audit-groups")
-    # of ASCII alone the whole text may be lowered, which is faster
-    lower = F.when(F.octet_length("text") == F.length("text"), F.lower("text")).otherwise(F.translate("text", _UPPER, _LOWER))
-    terms = rows.select("lang", "source", F.array_remove(F.split(lower, BETWEEN), "").alias("terms"))
-    counts = materialised(terms.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n")), "audit-counts")
-    documents = terms.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("docs"))
-    common = documents.where(F.col("docs") >= least).select("lang", "term")
-    kept = materialised(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(common, ["lang", "term"]), "audit-terms")
+    # a term's counts meet once: by term and lang, which serves the sums by source and those over all sources
+    dealt = map_batches(rows.select("lang", "source", "text"), _counted, _COUNTS).repartition("term", "lang")
+    counts = dealt.groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("term", "lang")
+    counts = counts.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("docs").over(whole).alias("lang_docs"))
+    counts = materialised(counts.where(F.col("lang_docs") >= least).drop("lang_docs"), "audit-counts")
+    kept = materialised(counts.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")), "audit-terms")
 
     about = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = materialised(groups.join(about, "lang").join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0))), "audit-totals")
-    dense = salted_join(kept, known, "lang", "term", kept.count()).join(counts, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = salted_join(kept, known, "lang", "term", kept.count()).join(counts.drop("lang_n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     shares = dense.select("lang", "source", "term", "n", _share("n", "total", "terms").alias("p"), _share("lang_n", "lang_total", "terms").alias("q"))
     shares = materialised(shares, "audit-shares")
 
